@@ -74,3 +74,18 @@ def p8_containers(spark, folder):
     from palimpsest.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"))
+
+
+@registry.add("p10_found")
+def p10_found(spark, folder):
+    from palimpsest.llm.language import mislabelled
+
+    return mislabelled(table(spark, folder, "documents")).select("doc_id", "para_no", "lang_found").distinct()
+
+
+@registry.add("p10_documents")
+def p10_documents(spark, folder):
+    """Each document's main language with its confidence."""
+    from palimpsest.llm.language import document_languages, language_parts
+
+    return document_languages(language_parts(table(spark, folder, "documents")))
