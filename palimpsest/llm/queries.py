@@ -89,3 +89,29 @@ def p10_documents(spark, folder):
     from palimpsest.llm.language import document_languages, language_parts
 
     return document_languages(language_parts(table(spark, folder, "documents")))
+
+
+@registry.add("p1_found")
+def p1_found(spark, folder):
+    from palimpsest.llm.dedup import resolve
+
+    return resolve(table(spark, folder, "messages")).cases
+
+
+@registry.add("p1_incremental")
+def p1_incremental(spark, folder):
+    """The same cases, from three arrivals against an index that grows with each."""
+    import os
+    import uuid
+
+    from palimpsest.llm.dedup import DedupIndex
+    from palimpsest.runtime import checkpoint_dir, cut
+
+    index = DedupIndex(spark, os.path.join(checkpoint_dir(spark), f"dedup-{uuid.uuid4().hex}"))
+    rows = table(spark, folder, "messages")
+    every = None
+    for low, high in ((0, 4), (4, 8), (8, 1 << 30)):
+        batch = rows.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
+        cases = cut(index.add(batch))
+        every = cases if every is None else every.unionByName(cases)
+    return every
