@@ -115,3 +115,18 @@ def p1_incremental(spark, folder):
         cases = cut(index.add(batch))
         every = cases if every is None else every.unionByName(cases)
     return every
+
+
+@registry.add("p7_found")
+def p7_found(spark, folder):
+    from palimpsest.llm.pii import find_pii
+
+    return find_pii(table(spark, folder, "messages"), table(spark, folder, "entity_profiles")).select("message_id", "kind", "found_text").distinct()
+
+
+@registry.add("p7_masked")
+def p7_masked(spark, folder):
+    """All messages with typed placeholders."""
+    from palimpsest.llm.pii import mask_pii
+
+    return mask_pii(table(spark, folder, "messages").dropDuplicates(["id"]), table(spark, folder, "entity_profiles")).select("id", "content")
