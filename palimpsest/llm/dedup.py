@@ -6,10 +6,10 @@ hold the same runs of digits equally often.
 
 * Full copies (same word set and digits) are found by one 128-bit hash; a class of copies
   stands or falls together, so only its first message goes on.
-* Near copies share a signature hash: word sets are ordered rarest word first; two sets of
-  similarity 0.8 share at least two words of their prefixes (n - ceil(0.8 n) + 2 words), so
-  one rare word, or else a pair, is a signature that both have. It plays the part of a
-  paragraph hash for messages of one paragraph; coverage is then checked exactly.
+* Near copies share a signature: word sets are ordered rarest word first; two sets of
+  similarity 0.8 share a word of their prefixes (n - ceil(0.8 n) + 1 words). A rare one is a
+  signature by itself, common ones in pairs (see ``signatures``). A signature plays the part
+  of a paragraph hash for messages of one paragraph; coverage is then checked exactly.
 * History is tables of hashes, signatures and word sets of accepted messages, bucketed by
   hash; a batch reads only the buckets' equal hashes (equi-joins) and appends its own.
 
@@ -31,18 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import words
-from palimpsest.runtime import cut
+from palimpsest.runtime import store
 
 MIN_WORDS = 8
 #: Words with at least 1/COMMON_WORDS of all word occurrences count as common, so there are at most COMMON_WORDS of them.
-COMMON_WORDS = 65_536
+COMMON_WORDS = 262_144
 LEADER_ROUNDS = 2
 _MASK = (1 << 64) - 1
 _DIGITS = re.compile(r"[0-9]+")
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def _hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) - (1 << 31)
 
 
 def _mix(a: int, b: int) -> int:
@@ -65,38 +65,57 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = " ".join(sorted(_DIGITS.findall(text)))
             own = sorted(map(_hash, ws))
             ids.append(i)
-            digits.append(_hash(sig))
+            digits.append(xxhash.xxh3_64_intdigest(sig) - (1 << 63))
             hashes.append(xxhash.xxh3_128_digest(sig + "\n" + " ".join(sorted(ws))))
             sets.append(own)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(digits, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+            [pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(digits, pa.int64()), pa.array(sets, pa.list_(pa.int32()))],
             ["id", "h", "digits", "words"],
         )
 
 
+def signatures(words: list[int], digits: int, common: dict[int, int]) -> list[tuple[int, int]]:
+    """(key, role) of one message.
+
+    The first word that two matching messages share, rarest first, is in both prefixes. If it is
+    rare it is a key by itself (role 2: all pairs count). If it is common, they share no rare word
+    at all and a second common word; then the similarity bounds the rare words of the partner
+    by 1.25 * (number of common words) - (number of words), so the key also holds both numbers of
+    rare words, and a pair counts between the side with fewer (role 0) and with more (role 1) only.
+    """
+    n = len(words)
+    least = -(-4 * n // 5)
+    rare = [w for w in words if w not in common]
+    r = len(rare)
+    out = [(_mix(w, digits), 2) for w in rare[: n - least + 1]]
+    if r <= n - least:
+        frequent = sorted((common[w], w) for w in words if w in common)[: n - least + 2 - r]
+        for k, (_, a) in enumerate(frequent[: n - least + 1 - r]):
+            for _, c in frequent[k + 1 :]:
+                pair = _mix(_mix(a, c), digits)
+                out += [(_mix(pair, (min(r, q) << 32) + max(r, q) + 1), 2 if q == r else 0 if r < q else 1) for q in range((5 * (n - r)) // 4 - n + 1)]
+    return out
+
+
 def _signer(bc):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = bc.value
         for b in batches:
-            ids, keys = [], []
+            ids, keys, roles = [], [], []
             for i, digits, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                n = len(ws)
-                size = n - -(-4 * n // 5) + 2
-                rare = [w for w in ws if w not in common][:size]
-                frequent = sorted((common[w], w) for w in ws if w in common)[: size - len(rare)] if len(rare) < size else []
-                own = [_mix(w, digits) for w in rare]
-                own += [_mix(_mix(a[1], c[1]), digits) for k, a in enumerate(frequent) for c in frequent[k + 1 :]]
-                ids += [i] * len(own)
-                keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["id", "key"])
+                for key, role in signatures(ws, digits, common):
+                    ids.append(i)
+                    keys.append(key)
+                    roles.append(role)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(roles, pa.int8())], ["id", "key", "role"])
 
     return sign
 
 
-def common_words(classes: DataFrame) -> dict[int, int]:
+def common_words(parsed: DataFrame) -> dict[int, int]:
     """Hashes of the common words with their number of messages: at most COMMON_WORDS entries, counted over all rows."""
-    total = classes.select(F.sum(F.size("words"))).first()[0] or 0
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").count()
+    total = parsed.select(F.sum(F.size("words"))).first()[0] or 0
+    counts = parsed.select(F.explode("words").alias("w")).groupBy("w").count()
     return {r[0]: r[1] for r in counts.where(F.col("count") > max(2.0, total / COMMON_WORDS)).collect()}
 
 
@@ -132,78 +151,85 @@ def resolve(messages: DataFrame, history: History | None = None) -> Resolution:
     empty and short contents match nothing and are neither cases nor hashed. Any batch may be empty.
     """
     spark = messages.sparkSession
-    parsed = cut(messages.select(F.col("id").cast("bigint"), "content").where("content is not null").mapInArrow(_parse, "id bigint, h binary, digits bigint, words array<bigint>"))
-    classes = parsed.groupBy("h").agg(F.min("id").alias("rep"))
-    old = None
-    if history is not None:
-        old = classes.join(history.classes.withColumnRenamed("id", "kept"), "h")
-        classes = classes.join(history.classes, "h", "left_anti")
-    first = parsed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "digits", "words")
-    common = history.common if history is not None else common_words(first)
+    parsed = store(messages.select(F.col("id").cast("bigint"), "content").where("content is not null").mapInArrow(_parse, "id bigint, h binary, digits bigint, words array<int>"))
+    # full copies: all but the first of each class follow the first
+    firsts = parsed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
+    copies = store(parsed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct())
+    if history is None:
+        old, common = None, common_words(parsed)
+    else:
+        old = store(parsed.select("id", "h").join(history.classes.withColumnRenamed("id", "kept"), "h").select("id", "kept").distinct())
+        common = history.common
     signer = _signer(spark.sparkContext.broadcast(common))
-    keys = first.select("id", "digits", "words").mapInArrow(signer, "id bigint, key bigint")
+    keys = parsed.select("id", "digits", "words").mapInArrow(signer, "id bigint, key bigint, role tinyint")
 
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
+    joins = "(least = 2 and most = 2 and first < last) or (least < 2 and (first < last) and (least < most))"
+    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last")).where(joins).select("key")
     if history is not None:
         shared = shared.union(keys.join(history.keys, "key", "left_semi").select("key")).distinct()
-    near = cut(keys.join(shared, "key").distinct())  # only signatures of several messages
-    sets = cut(first.join(near.select("id").distinct(), "id", "left_semi"))
+    near = keys.join(shared, "key").distinct().join(copies.select("id"), "id", "left_anti")
+    if old is not None:
+        near = near.join(old.select("id"), "id", "left_anti")
+    near = store(near)
+    sets = store(parsed.join(near.select("id").distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"]))
 
     kept_parts = []
     open_ = near.select("id").distinct()
     if history is not None:
         pairs = near.join(history.keys.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
-        hits = cut(_matching(pairs, sets, history.sets).groupBy("a").agg(F.min("b").alias("b")))
+        hits = store(_matching(pairs, sets, history.sets).groupBy("a").agg(F.min("b").alias("b")))
         kept_parts.append(hits)
-        open_ = cut(open_.join(hits.select(F.col("a").alias("id")), "id", "left_anti"))
+        open_ = store(open_.join(hits.select(F.col("a").alias("id")), "id", "left_anti"))
     accepted = None
     for _ in range(LEADER_ROUNDS):
         live = near.join(open_, "id", "left_semi")
         lead = live.groupBy("key").agg(F.min("id").alias("lead"))
         led = live.join(lead, "key")
-        first_of_all = led.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id")
-        first_of_all = cut(first_of_all)
+        first_of_all = store(led.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id"))
         # a leader's every signature has it as the only new accepted message: work is linear in the signatures
         pairs = led.where("id <> lead").join(first_of_all.select(F.col("id").alias("lead")), "lead", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b"))
         hits = _matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct()
         accepted = first_of_all if accepted is None else accepted.union(first_of_all)
-        open_ = cut(open_.join(first_of_all, "id", "left_anti").join(hits, "id", "left_anti"))
-    live = cut(near.join(open_, "id", "left_semi"))
-    other = live.select("key", F.col("id").alias("b"))
-    pairs = live.join(other, "key").where("b < id").select(F.col("id").alias("a"), "b")
-    links = cut(_matching(pairs, sets, sets))
+        open_ = store(open_.join(first_of_all, "id", "left_anti").join(hits, "id", "left_anti"))
+    live = near.join(open_, "id", "left_semi")
+    other = live.select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
+    pairs = live.join(other, "key").where("b < id and (role = 2 and role_b = 2 or role <> role_b)").select(F.col("id").alias("a"), "b")
+    links = store(_matching(pairs, sets, sets))
     while not open_.isEmpty():
         blocked = links.select(F.col("a").alias("id")).distinct()
-        free = cut(open_.join(blocked, "id", "left_anti"))
+        free = store(open_.join(blocked, "id", "left_anti"))
         out = links.join(free.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
         accepted = accepted.union(free)
-        open_ = cut(open_.join(free, "id", "left_anti").join(out, "id", "left_anti"))
-        still = open_.select("id")
-        links = cut(links.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi"))
-    accepted = cut(accepted.coalesce(near.rdd.getNumPartitions()))
+        still = store(open_.join(free, "id", "left_anti").join(out, "id", "left_anti"))
+        links = store(links.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi"))
+        open_ = still
+    accepted = store(accepted)
 
     # each case's smallest accepted match, over all its signatures
     undone = near.join(accepted, "id", "left_anti")
     if history is not None:
         undone = undone.join(kept_parts[0].select(F.col("a").alias("id")), "id", "left_anti")
-    firm = near.join(accepted, "id", "left_semi").select("key", F.col("id").alias("b"))
-    pairs = undone.join(firm, "key").where("b < id").select(F.col("id").alias("a"), "b")
+    firm = near.join(accepted, "id", "left_semi").select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
+    pairs = undone.join(firm, "key").where("b < id and (role = 2 and role_b = 2 or role <> role_b)").select(F.col("id").alias("a"), "b")
     kept = _matching(pairs, sets, sets).groupBy("a").agg(F.min("b").alias("b"))
     for part in kept_parts:
         kept = kept.unionByName(part)
-    kept = cut(kept)
-
-    decided = classes.join(kept.select(F.col("a").alias("rep"), F.col("b").alias("kept")), "rep", "left").select("h", "rep", F.coalesce("kept", "rep").alias("kept"))
-    whole = decided.select("h", "kept")
-    if old is not None:
-        whole = whole.unionByName(old.select("h", "kept"))
-    cases = parsed.select("id", "h").join(whole, "h").where("id <> kept").select(F.col("kept").alias("kept_id"), F.col("id").alias("duplicate_id")).distinct()
-    fresh = decided.where("rep = kept").select("h", F.col("rep").alias("id"))
-    new = fresh.select("id")
-    return Resolution(cases, fresh, keys.join(new, "id", "left_semi").select("key", "id"), first.join(new, "id", "left_semi"), common)
+    kept = store(kept)
+
+    followers = copies.join(kept.select(F.col("a").alias("rep"), F.col("b").alias("kept")), "rep", "left").select(F.coalesce("kept", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
+    cases = kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id"))
+    if old is not None:  # copies of what the history has
+        followers = followers.join(old.select(F.col("id").alias("duplicate_id")), "duplicate_id", "left_anti").select("kept_id", "duplicate_id")
+        cases = cases.unionByName(old.select(F.col("kept").alias("kept_id"), F.col("id").alias("duplicate_id")))
+    cases = cases.unionByName(followers).distinct()
+    new = parsed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"])
+    return Resolution(
+        cases, new.select("h", "id"), new.select("id", "digits", "words").mapInArrow(signer, "id bigint, key bigint, role tinyint").select("key", "id"), new.select("id", "digits", "words"), common
+    )
 
 
-TABLES = {"classes": "h binary, id bigint", "keys": "key bigint, id bigint", "sets": "id bigint, digits bigint, words array<bigint>"}
+TABLES = {"classes": "h binary, id bigint", "keys": "key bigint, id bigint", "sets": "id bigint, digits bigint, words array<int>"}
 
 
 class DedupIndex:
