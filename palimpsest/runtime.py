@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -35,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage like ``cut``, but columnar and compressed."""
+    spark = df.sparkSession
+    at = os.path.join(checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
