@@ -130,3 +130,35 @@ def p7_masked(spark, folder):
     from palimpsest.llm.pii import mask_pii
 
     return mask_pii(table(spark, folder, "messages").dropDuplicates(["id"]), table(spark, folder, "entity_profiles")).select("id", "content")
+
+
+@registry.add("p3_found")
+def p3_found(spark, folder):
+    from palimpsest.llm.clusters import spectral_clusters
+
+    return spectral_clusters(table(spark, folder, "vec_messages"))
+
+
+@registry.add("p3_described")
+def p3_described(spark, folder):
+    """Each cluster's size and most typical messages, in place of the outdated centroids."""
+    from palimpsest.llm.clusters import describe, spectral_clusters
+
+    vectors = table(spark, folder, "vec_messages")
+    return describe(spectral_clusters(vectors), vectors).select("cluster_key", "message_count", "typical")
+
+
+@registry.add("p4_found")
+def p4_found(spark, folder):
+    from palimpsest.llm.vectors import near_pairs
+
+    return near_pairs(table(spark, folder, "vec_messages")).select("message_id_a", "message_id_b")
+
+
+@registry.add("p4_nearest")
+def p4_nearest(spark, folder):
+    """The five most similar messages of every message whose id is divisible by 100, against all."""
+    from palimpsest.llm.vectors import nearest
+
+    vectors = table(spark, folder, "vec_messages")
+    return nearest(vectors, vectors.where("message_id % 100 = 0").select(F.col("message_id").alias("id")))
