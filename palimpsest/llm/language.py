@@ -33,6 +33,7 @@ NAMES = {
     "en": ("english", "en", "eng"), "de": ("german", "de", "deu", "ger"), "fr": ("french", "fr", "fra", "fre"),
     "es": ("spanish", "es", "spa"), "pt": ("portuguese", "pt", "por"), "nl": ("dutch", "nl", "nld", "dut"),
 }
+_BASE, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
@@ -65,6 +66,16 @@ class Scorer:
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.number = {p: i for i, p in enumerate(pieces)}
         self.probs = probs  # (pieces + 1, languages); the last row is for an unknown letter
+        self.padded = np.vstack([probs, np.zeros(probs.shape[1])])  # and one for no piece at all
+        self.by_length = {}
+        for k in range(1, LONGEST_PIECE + 1):
+            own = [p for p in pieces if len(p) == k]
+            rolling = np.zeros(len(own), np.uint64)
+            for i in range(k):
+                rolling = rolling * _BASE + np.array([ord(p[i]) for p in own], np.uint64) + _ONE
+            order = np.argsort(rolling)
+            keys, ids = rolling[order], np.array([self.number[p] for p in own], np.int64)[order]
+            self.by_length[k] = (np.append(keys, np.uint64(2**64 - 1)), np.append(ids, len(pieces) + 1))
         self.row: dict[str, int] = {}
         self.table = np.zeros((4_096, probs.shape[1]), dtype=np.float32)
 
@@ -90,17 +101,24 @@ class Scorer:
         return alpha
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log probabilities of words of one length, centred on their mean and clipped (any word has bounded weight)."""
-        n, size, none = len(words), len(words[0]) + 1, len(self.number) + 1
-        probs = np.vstack([self.probs, np.zeros(self.probs.shape[1])])
-        get, spans = self.number.get, [(max(0, j - k), j, k) for j in range(1, size + 1) for k in range(1, LONGEST_PIECE + 1)]
-        ids = np.array([[get(w[i:j], none) if j >= k else none for i, j, k in spans] for w in ("▁" + w for w in words)]).reshape(n, size, LONGEST_PIECE)
-        ids[:, :, 0][ids[:, :, 0] == none] = none - 1  # an unknown letter
+        """Log probabilities of words of one length, centred on their mean and clipped (any word has bounded weight).
+
+        All words go through the forward sums together; pieces are looked up by rolling hashes of
+        the words' code points, length by length.
+        """
+        n, size = len(words), len(words[0]) + 1
+        points = np.array(["▁" + w for w in words], dtype=f"U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
+        found, rolling = [], np.zeros((n, size + 1), np.uint64)
+        for k in range(1, min(size, LONGEST_PIECE) + 1):
+            rolling = rolling[:, :-1] * _BASE + points[:, k - 1 :] + _ONE
+            keys, pieces = self.by_length[k]
+            at = np.searchsorted(keys, rolling)
+            found.append(np.where(keys[at] == rolling, pieces[at], len(self.number) + (k > 1)))
         alpha = np.zeros((size + 1, n, self.probs.shape[1]))
         alpha[0] = 1.0
         for j in range(1, size + 1):
             for k in range(1, min(j, LONGEST_PIECE) + 1):
-                alpha[j] += alpha[j - k] * probs[ids[:, j - 1, k - 1]]
+                alpha[j] += alpha[j - k] * self.padded[found[k - 1][:, j - k]]
         s = np.log(alpha[-1] + 1e-300)
         return np.clip(s - s.mean(1, keepdims=True), -CLIP, CLIP)
 
