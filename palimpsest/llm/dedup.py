@@ -37,7 +37,6 @@ MIN_WORDS = 8
 #: Words with at least 1/COMMON_WORDS of all word occurrences count as common, so there are at most COMMON_WORDS of them.
 COMMON_WORDS = 262_144
 LEADER_ROUNDS = 2
-_MASK = (1 << 64) - 1
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -45,13 +44,6 @@ def _hash(word: str) -> int:
     return xxhash.xxh32_intdigest(word) - (1 << 31)
 
 
-def _mix(a: int, b: int) -> int:
-    """One signed 64-bit hash of two, the same in every process."""
-    x = (a * 0x9E3779B97F4A7C15 + b) & _MASK
-    x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK
-    return (x ^ (x >> 32)) - (1 << 63)
-
-
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, class hash, digits hash, sorted word hashes) of the messages with enough words."""
     for b in batches:
@@ -82,18 +74,18 @@ def signatures(words: list[int], digits: int, common: dict[int, int]) -> list[tu
     at all and a second common word; then the similarity bounds the rare words of the partner
     by 1.25 * (number of common words) - (number of words), so the key also holds both numbers of
     rare words, and a pair counts between the side with fewer (role 0) and with more (role 1) only.
+    Python's hash of a tuple of whole numbers is not salted: all workers and runs agree on it.
     """
     n = len(words)
     least = -(-4 * n // 5)
     rare = [w for w in words if w not in common]
     r = len(rare)
-    out = [(_mix(w, digits), 2) for w in rare[: n - least + 1]]
+    out = [(hash((w, digits)), 2) for w in rare[: n - least + 1]]
     if r <= n - least:
         frequent = sorted((common[w], w) for w in words if w in common)[: n - least + 2 - r]
         for k, (_, a) in enumerate(frequent[: n - least + 1 - r]):
             for _, c in frequent[k + 1 :]:
-                pair = _mix(_mix(a, c), digits)
-                out += [(_mix(pair, (min(r, q) << 32) + max(r, q) + 1), 2 if q == r else 0 if r < q else 1) for q in range((5 * (n - r)) // 4 - n + 1)]
+                out += [(hash((a, c, digits, min(r, q), max(r, q))), 2 if q == r else 0 if r < q else 1) for q in range((5 * (n - r)) // 4 - n + 1)]
     return out
 
 
