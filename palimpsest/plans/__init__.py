@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from palimpsest.plans import data_quality
+    from palimpsest.plans import data_quality, memory
 
-    return [data_quality.registry]
+    return [data_quality.registry, memory.registry]
