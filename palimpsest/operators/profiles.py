@@ -35,16 +35,17 @@ def communication_pattern(m: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def style_buckets(text: Column) -> Column:
-    """Hash buckets of all character 3-, 4- and 5-grams: the first byte of each gram's md5."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+def style_grams(rows: DataFrame, keep: list[str], text: str = "content") -> DataFrame:
+    """(keep..., bucket, c): counts of hash buckets of all character 3-, 4- and 5-grams; a bucket is the first byte of a gram's md5.
 
-    def of(n: int) -> Column:
-        at = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, at).otherwise(F.array().cast("array<string>"))
-
-    grams = [of(n) for n in SIZES]
-    return F.transform(F.concat(*grams), lambda g: F.conv(F.substring(F.md5(g), 1, 2), 16, 10).cast("int"))
+    Grams are exploded before they are hashed, so the hashing runs in generated code.
+    """
+    t = rows.select(*keep, F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ").alias("t"))
+    every = None
+    for n in SIZES:
+        part = t.where(F.length("t") >= n).select(*keep, "t", F.explode(F.sequence(F.lit(1), F.length("t") - (n - 1))).alias("i")).select(*keep, F.substr("t", "i", F.lit(n)).alias("g"))
+        every = part if every is None else every.unionByName(part)
+    return every.select(*keep, F.conv(F.substring(F.md5("g"), 1, 2), 16, 10).cast("int").alias("bucket")).groupBy(*keep, "bucket").agg(F.count("*").alias("c"))
 
 
 def style_vectors(m: DataFrame) -> DataFrame:
@@ -52,8 +53,7 @@ def style_vectors(m: DataFrame) -> DataFrame:
 
     Grams are counted before the shuffle; a message's norm is over its own buckets only.
     """
-    rows = m.where("sender <> '' and trim(content) <> ''").select("id", F.lower("sender").alias("entity"), F.explode(style_buckets(F.col("content"))).alias("bucket"))
-    per = rows.groupBy("id", "entity", "bucket").agg(F.count("*").alias("c"))
+    per = style_grams(m.where("sender <> '' and trim(content) <> ''").withColumn("entity", F.lower("sender")), ["id", "entity"])
     norms = per.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     mean = per.join(norms, "id").groupBy("entity", "bucket").agg(F.sum(F.col("c") / F.col("norm")).alias("v"))
     length = mean.groupBy("entity").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from palimpsest.plans import data_quality, memory
+    from palimpsest.plans import data_quality, insight, memory
 
-    return [data_quality.registry, memory.registry]
+    return [data_quality.registry, memory.registry, insight.registry]
