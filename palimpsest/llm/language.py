@@ -127,7 +127,8 @@ class Scorer:
         if len(self.row) > CACHE_WORDS:
             self.row.clear()
         lengths: dict[int, list[str]] = {}
-        for w in words - self.row.keys():
+        row = self.row
+        for w in [w for w in words if w not in row]:
             lengths.setdefault(min(len(w), LONGEST_WORD), []).append(w)
         for size, ws in lengths.items():
             for at in range(0, len(ws), 2_000):
