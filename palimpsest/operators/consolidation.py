@@ -164,3 +164,25 @@ def overlap_search(chain: DataFrame, words: list[str], month_: str | None = None
     n = F.size(F.filter(F.array(*map(F.lit, words)), lambda x: F.contains(low, x)))
     bonus = F.when(month() == month_, 2).otherwise(0) if month_ else F.lit(0)
     return chain.withColumn("relevance", n * 2 + bonus).where(n > 0).select("subject", "fact", "seq", "relevance")
+
+
+# Phrases of roles, hires and places.
+ROLE = r"(?i)\b(\w+(?:\s+\w+)?)\s+(?:is|as)\s+(?:our\s+)?(?:the\s+)?(CTO|CEO|COO|CFO|VP|lead|manager|engineer|designer|intern|cofounder|co-founder)"
+HIRE = r"(?i)(?:hired|brought on|recruited|onboarded)\s+(\w+(?:\s+\w+)?)"
+PLACES = (r"(?i)(?:office|headquarters|hq)\s+(?:at|in|is)\s+(.+?)(?:[.,!?]|$)", r"(?i)(?:moved|relocated|based)\s+(?:to|in)\s+(.+?)(?:[.,!?]|$)")
+
+
+def places(m: DataFrame) -> DataFrame:
+    """(place): distinct places of 4 to 49 characters that messages name."""
+    found = F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in PLACES))
+    return m.where("not directive").select(F.explode(found).alias("p")).select(F.trim("p").alias("place")).where("length(place) > 3 and length(place) < 50").distinct()
+
+
+def roster(m: DataFrame) -> DataFrame:
+    """(name, role): capitalised people with their last stated role (by ts, id), 'member' for hires without one."""
+    rows = m.where("not directive").select("id", "ts", "content")
+    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(ROLE), F.lit(1)).alias("n"), F.regexp_extract_all("content", F.lit(ROLE), F.lit(2)).alias("r"))
+    said = rows.select("id", "ts", F.posexplode(pairs).alias("k", "p")).select("id", "ts", "k", F.trim("p.n").alias("name"), F.trim("p.r").alias("role"))
+    hired = rows.select("id", "ts", F.posexplode(F.regexp_extract_all("content", F.lit(HIRE), F.lit(1))).alias("k", "n")).select("id", "ts", "k", F.trim("n").alias("name"), F.lit(None).cast("string").alias("role"))
+    every = said.unionByName(hired).where(F.col("name").rlike(r"^[A-Z].") )
+    return every.groupBy("name").agg(F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("ts", "id", "k"))), F.lit("member")).alias("role"))

@@ -64,3 +64,63 @@ def style_similarity(vectors: DataFrame, entity: str) -> DataFrame:
     """(entity, cosine) of every entity's style to that of one."""
     one = vectors.where(F.col("entity") == entity.lower()).select("bucket", F.col("value").alias("w"))  # at most BUCKETS rows
     return vectors.join(F.broadcast(one), "bucket").groupBy("entity").agg(F.round(F.sum(F.col("value") * F.col("w")), 4).alias("cosine"))
+
+
+# Words of topics, traits and preferences.
+TOPICS = {
+    "startup/business": "startup company founded revenue funding investor pitch valuation mrr arr series seed raise", "technology": "code deploy database api backend frontend server aws cloud repo kubernetes docker github python go rewrite migrate typescript javascript",
+    "health/fitness": "gym run running workout health marathon sleep meditation therapy doctor weight", "relationships": "dating anniversary valentine proposal ring wedding girlfriend boyfriend partner love",
+    "food/dining": "restaurant coffee tacos sushi dinner lunch breakfast eat cook bar", "finance": "salary savings money bank mortgage house rent 401k investment budget expense", "career": "job quit hired hiring employee cofounder cto ceo role interview offer equity promotion",
+    "pets": "dog puppy vet walk shelter pet", "entertainment": "show movie netflix hulu watch concert festival book game", "family": "mom dad sister brother parents family thanksgiving christmas birthday",
+}
+TRAITS = {
+    "ambitious": "goal|growth|scale|expand|raise|million|revenue|build|launch|grind", "anxious": "worried|anxious|stress|panic|what if|scared|nervous|can't sleep|overwhelmed", "caring": "love|miss you|thinking of you|proud of|care about|how are you|check in|support",
+    "analytical": "data|metrics|numbers|analysis|measure|calculate|percentage|accuracy|benchmark", "social": "drinks|party|hang out|get together|dinner with|let's meet|catch up|plans", "health-conscious": "gym|workout|run|meditation|sleep|diet|healthy|fitness|organic|supplements",
+    "technical": "code|deploy|api|database|server|algorithm|architecture|framework|debug", "family-oriented": "mom|dad|sister|family|parents|thanksgiving|christmas|birthday|home|visit", "entrepreneurial": "startup|founder|company|pitch|investor|equity|valuation|raise",
+    "loyal": "always|forever|promise|never leave|count on|trust|got your back|support",
+}
+CASUAL = "lol haha omg gonna wanna gotta yeah yep nah bruh dude tbh idk imo btw ngl fr rn lmao".split()
+
+
+def topics(m: DataFrame) -> DataFrame:
+    """(entity, topic, hits): topics of which a sender used at least two words, counted once for each message and word."""
+    words = F.array_distinct(F.split(F.lower("content"), r"\s+"))
+    counts = [F.sum(F.size(F.array_intersect("w", F.array(*map(F.lit, ws.split()))))).alias(t) for t, ws in TOPICS.items()]
+    per = m.where("sender <> ''").select(F.lower("sender").alias("entity"), words.alias("w")).groupBy("entity").agg(*counts)
+    return per.unpivot(["entity"], list(TOPICS), "topic", "hits").where("hits >= 2")
+
+
+def traits(m: DataFrame) -> DataFrame:
+    """(entity, trait, hits): traits with at least max(2, n / 50) indicators in a sender's n messages."""
+    low = F.lower("content")
+    hits = [F.sum(F.size(F.filter(F.array(*map(F.lit, ws.split("|"))), _within(low)))).alias(t) for t, ws in TRAITS.items()]
+    per = m.where("sender <> ''").groupBy(F.lower("sender").alias("entity")).agg(F.count("*").alias("n"), *hits)
+    return per.unpivot(["entity", "n"], list(TRAITS), "trait", "hits").where(F.col("hits") >= F.greatest(F.lit(2), F.floor(F.col("n") / 50))).drop("n")
+
+
+def _within(text: Column):
+    return lambda w: F.contains(text, w)
+
+
+def formality(m: DataFrame) -> DataFrame:
+    """(entity, formality): casual above .65 of short casual messages against formal ones, formal below .35, else mixed."""
+    c = F.col("content")
+    short = F.length(c) < 50
+    casual = (F.arrays_overlap(F.split(F.lower(c), r"\s+"), F.array(*map(F.lit, CASUAL))) | (c == F.lower(c)) | c.rlike(L.EMOJI)) & short
+    formal = ~casual & ((c.rlike(r"^[A-Z]") & c.rlike(r"\.\s*$")) | (F.length(c) > 200))
+    per = m.where("sender <> ''").groupBy(F.lower("sender").alias("entity")).agg(F.count_if(casual).alias("casual"), F.count_if(formal).alias("formal"))
+    r = F.col("casual") / (F.col("casual") + F.col("formal"))
+    return per.select("entity", "casual", "formal", F.when(F.col("casual") + F.col("formal") == 0, "mixed").when(r > 0.65, "casual").when(r < 0.35, "formal").otherwise("mixed").alias("formality"))
+
+
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Profiles (entity, message_count, avg_length) after further messages, for use on every micro-batch."""
+    both = old.select("entity", "message_count", "avg_length").unionByName(new.select("entity", "message_count", "avg_length"))
+    return both.groupBy("entity").agg(F.sum("message_count").alias("message_count"), (F.sum(F.col("message_count") * F.col("avg_length")) / F.sum("message_count")).alias("avg_length"))
+
+
+def resolve(entities: DataFrame, name: str) -> DataFrame:
+    """The entity that a name means: exact, else the only one that contains it, else the first that does (in order of names)."""
+    n = name.lower().strip()
+    hit = entities.where(F.contains("entity", F.lit(n))).select("entity", F.when(F.col("entity") == n, 0).otherwise(1).alias("far"))
+    return hit.orderBy("far", "entity").limit(1).select("entity")

@@ -513,3 +513,113 @@ def growth_rule(spark, d):
     f = table(spark, d, "session_files")
     marks = f.where("substr(session_id, 1, 1) <= '7'").select("session_id", F.expr("size_bytes div 2").alias("size"))
     return st.grown(f, marks).select("session_id")
+
+
+# --- further builders and composed searches ----------------------------------------------------------------------
+
+
+@add("structured_places", "with " + MSG + ", f as (" + " union all ".join(f"select trim(unnest(regexp_extract_all(content, '{q(p)}', 1))) place from msg where not directive" for p in co.PLACES) + ") select distinct place from f where length(place) > 3 and length(place) < 50")
+def structured_places(spark, d):
+    return co.places(load_messages(spark, d))
+
+
+@add("structured_roster")
+def structured_roster(spark, d):
+    return co.roster(load_messages(spark, d))
+
+
+TOPIC_SQL = " union all ".join(f"select entity, '{t}' topic, sum({' + '.join(f'list_contains(w, {chr(39)}{x}{chr(39)})::int' for x in ws.split())}) hits from w group by entity" for t, ws in pr.TOPICS.items())
+
+
+@add("entity_topics", f"with {MSG}, w as (select lower(sender) entity, regexp_split_to_array(lower(content), '\\s+') w from msg where sender <> ''), x as ({TOPIC_SQL}) select entity, topic, hits from x where hits >= 2")
+def entity_topics(spark, d):
+    return pr.topics(load_messages(spark, d))
+
+
+TRAIT_SQL = " union all ".join(f"select entity, count(*) n, '{t}' trait, sum({hits('c', ws.split('|'))}) hits from w group by entity" for t, ws in pr.TRAITS.items())
+
+
+@add("entity_traits", f"with {MSG}, w as (select lower(sender) entity, lower(content) c from msg where sender <> ''), x as ({TRAIT_SQL}) select entity, trait, hits from x where hits >= greatest(2, n // 50)")
+def entity_traits(spark, d):
+    return pr.traits(load_messages(spark, d))
+
+
+@add("entity_formality", f"""with {MSG}, k as (select lower(sender) entity, content c, length(content) < 50 and (list_has_any(regexp_split_to_array(lower(content), '\\s+'), {list(pr.CASUAL)}) or content = lower(content) or regexp_matches(content, '{L.EMOJI}')) cas from msg where sender <> ''),
+g as (select entity, count(*) filter (where cas) casual, count(*) filter (where not cas and ((regexp_matches(c, '^[A-Z]') and regexp_matches(c, '\\.\\s*$')) or length(c) > 200)) formal from k group by entity)
+select entity, casual, formal, case when casual + formal = 0 then 'mixed' when casual / (casual + formal) > .65 then 'casual' when casual / (casual + formal) < .35 then 'formal' else 'mixed' end formality from g""")
+def entity_formality(spark, d):
+    return pr.formality(load_messages(spark, d))
+
+
+@add("profiles_incremental", with_msg("select lower(sender) entity, count(*) message_count, round(avg(length(content)), 6) avg_length from msg where sender <> '' group by 1"))
+def profiles_incremental(spark, d):
+    m = load_messages(spark, d).where("sender <> ''")
+    part = lambda rows: rows.groupBy(F.lower("sender").alias("entity")).agg(F.count("*").alias("message_count"), F.avg(F.length("content")).alias("avg_length"))
+    return pr.merged(part(m.where("id % 3 = 0")), part(m.where("id % 3 <> 0"))).select("entity", "message_count", F.round("avg_length", 6).alias("avg_length"))
+
+
+@add("resolve_entity", with_msg("select entity from (select distinct lower(trim(sender)) entity from msg where trim(sender) <> '') where contains(entity, 'bram') order by (entity <> 'bram')::int, entity limit 1"))
+def resolve_entity(spark, d):
+    return pr.resolve(load_messages(spark, d).select(F.lower(F.trim("sender")).alias("entity")).where("entity <> ''").distinct(), "bram")
+
+
+@add("telemetry_recent", "select event_id, event_type from events where event_type in ('error', 'signup') and ts > (select max(ts) - interval 24 hours from events)")
+def telemetry_recent(spark, d):
+    """Signals of the last day before the newest event."""
+    e = table(spark, d, "events")
+    last = e.agg((F.max("ts") - F.expr("interval 24 hours")).alias("cutoff"))
+    return e.where("event_type in ('error', 'signup')").join(F.broadcast(last), F.col("ts") > F.col("cutoff")).select("event_id", "event_type")  # one row
+
+
+def _vectors(spark, d):
+    v = table(spark, d, "vec_messages").where("size(embedding) = 64 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    v = v.select(F.col("message_id").alias("id"), F.col("embedding").alias("vec")).dropDuplicates(["id"])
+    return v, v.orderBy("id").limit(1).first()["vec"]
+
+
+def _ranked(df):
+    return df.select("id", F.round("score", 6).alias("score"), "source")
+
+
+@add("search_pipeline")
+def search_pipeline(spark, d):
+    from palimpsest.operators import search
+
+    v, vec = _vectors(spark, d)
+    m = load_messages(spark, d)
+    return _ranked(search.pipeline(m, "what did Jovanka Bramholt say about the vector index", 10, v, vec, sal.surprise_index(m)))
+
+
+@add("search_agentic_no_llm")
+def search_agentic_no_llm(spark, d):
+    from palimpsest.operators import search
+
+    v, vec = _vectors(spark, d)
+    return _ranked(search.multi_round(load_messages(spark, d), "what did Jovanka Bramholt say about the vector index", 10, v, vec))
+
+
+@add("rerank_fused")
+def rerank_fused(spark, d):
+    from palimpsest.operators import search
+
+    v, vec = _vectors(spark, d)
+    return _ranked(search.pipeline(load_messages(spark, d), "the retry queue and the write lock", 10, v, vec, rerank=search.lexical_rerank))
+
+
+@add("scent_trail")
+def scent_trail(spark, d):
+    from palimpsest.operators import search
+
+    m = load_messages(spark, d)
+    return _ranked(search.scent_trail(m, "retry queue", search.hybrid(m, "retry queue", limit=20)))
+
+
+@add("entity_focused", f"""with {MSG}, docs as (select id, directive, sender, regexp_extract_all(lower(concat_ws(' ', content, sender, recipient, category, modality)), '[a-z0-9]+') t from msg), corpus as (select count(*) n, avg(len(t)) a from docs),
+terms as (select * from (values ('felka'), ('brammont'), ('say'), ('budget')) x(term)), freq as (select id, term, len(list_filter(t, lambda x: x = term)) tf, len(t) dl from docs, terms where list_contains(t, term)), dfs as (select term, count(*) df from freq group by term),
+scored as (select id, sum(greatest(1e-6, ln((n - df + .5) / (df + .5))) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / a))) b from freq join dfs using (term), corpus group by id),
+best as (select id, b from scored join docs using (id) where not directive and lower(trim(sender)) = 'felka brammont' order by round(b, 9) desc, id::varchar limit 8)
+select id, round(case when max(b) over () = min(b) over () then 1 else (b - min(b) over ()) / (max(b) over () - min(b) over ()) end, 6) score from best""")
+def entity_focused(spark, d):
+    from palimpsest.operators import search
+
+    return search.entity_focused(load_messages(spark, d), "what did Felka Brammont say about the budget", 8).select("id", F.round("score", 6).alias("score"))
