@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _HEADING = re.compile(r"\s*#{1,6}\s|\s*[^\W\d_]+(?:\s+[^\W\d_]+){0,2}(?:\s+\d{4}-\d\d)?\s*$")
+_ROLE_RE2 = r"(?m)^\s*(?:user|assistant|human|system)\s*:\s*"
 _ROLE = re.compile(r"^\s*(?:user|assistant|human|system)\s*:\s*|^\s*[-*•]\s+", re.I | re.M)
 
 
@@ -76,7 +78,7 @@ class Scorer:
             order = np.argsort(rolling)
             keys, ids = rolling[order], np.array([self.number[p] for p in own], np.int64)[order]
             self.by_length[k] = (np.append(keys, np.uint64(2**64 - 1)), np.append(ids, len(pieces) + 1))
-        self.row: dict[str, int] = {}
+        self.row: dict[str, int] = {"": 0}  # the empty word scores nothing
         self.table = np.zeros((4_096, probs.shape[1]), dtype=np.float32)
 
     def lattice(self, word: str) -> list[tuple[int, int, int]]:
@@ -125,7 +127,7 @@ class Scorer:
     def learn(self, words: set[str]) -> None:
         """Score the words not yet known."""
         if len(self.row) > CACHE_WORDS:
-            self.row.clear()
+            self.row = {"": 0}
         lengths: dict[int, list[str]] = {}
         row = self.row
         for w in [w for w in words if w not in row]:
@@ -238,18 +240,19 @@ def split_languages(scores: np.ndarray, ends: set[int]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, words: list[str] | None = None) -> list[tuple[int, int, float, int]]:
+def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, every: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
     """(paragraph, language, confidence, words) of each paragraph and language in it.
 
     Paragraphs are blocks between blank lines, numbered from 1; headings are numbered but have no
     rows. A stretch counts as a language of its paragraph if it is a sentence of MIN_WORDS words
     and SENTENCE nats over the paragraph's main language, or any stretch of PART nats.
-    With ``label``, a text that is in that language alone gives no rows.
+    With ``label``, a text that is in that language alone gives no rows. ``every`` has the scores of
+    all words in order, if the caller has them already.
     """
-    words = text_words(_ROLE.sub("", text)) if words is None else words
-    if not words:
+    if every is None:
+        every = scorer.scores(text_words(_ROLE.sub("", text)))
+    if not every.any():
         return []
-    every = scorer.scores(words)
     total = every.sum(0, dtype=np.float64)
     main = int(total.argmax())
     pure = not _other_part(np.cumsum(every - every[:, main : main + 1], axis=0), SENTENCE)
@@ -300,6 +303,21 @@ def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, words:
     return out
 
 
+def batch_scores(texts: pa.Array, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all words of all texts in order, and where each text's words begin and end.
+
+    Arrow splits the texts and numbers the words, so only distinct words become Python strings.
+    """
+    bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _ROLE_RE2, "")
+    lists = pc.split_pattern_regex(bare, r"\P{L}+")
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    scorer.learn(set(distinct))
+    own = scorer.table[np.fromiter(map(scorer.row.__getitem__, distinct), np.int32, len(distinct))]
+    ends = lists.offsets.to_numpy()
+    return own[coded.indices.to_numpy()], ends - ends[0]
+
+
 _kept: list = []
 
 
@@ -311,12 +329,13 @@ def _labeller(bc, wrong_only: bool):
         scorer = _kept[1]
         for whole in batches:
             out = []
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows = [(d, t, x, text_words(_ROLE.sub("", t))) for d, t, x in zip(*(b.column(i).to_pylist() for i in range(3))) if t]
-                scorer.learn(set().union(*(r[3] for r in rows)))
-                for doc, text, label, words in rows:
-                    out += [(doc, no, LANGS[lang], c, n) for no, lang, c, n in paragraph_parts(text, scorer, label if wrong_only else None, words)]
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                scores, ends = batch_scores(b.column(1), scorer)
+                for k, (doc, text, label) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
+                    if text:
+                        parts = paragraph_parts(text, scorer, label if wrong_only else None, scores[ends[k] : ends[k + 1]])
+                        out += [(doc, no, LANGS[lang], c, n) for no, lang, c, n in parts]
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "para_no", "lang_found", "confidence", "n_words"])
