@@ -48,16 +48,15 @@ def scan_search(docs: DataFrame, query: str, fields: tuple[str, ...] = FIELDS, k
     if not terms:
         return docs.withColumn("bm25", F.lit(0.0)).limit(0)
     tf = {w: _occurrences(w) for w in terms}
-    stats = t.agg(F.count("*").alias("__n"), F.avg(F.size("__t")).alias("__avg"), *(F.count_if(tf[w] > 0).alias(f"__df_{i}") for i, w in enumerate(terms)))
+    stats = t.agg(F.count("*"), F.coalesce(F.avg(F.size("__t")), F.lit(1.0)), *(F.count_if(tf[w] > 0) for w in terms)).first()  # one row over the whole corpus
     hit = t.where(F.arrays_overlap("__t", F.array(*map(F.lit, terms))))
     if keep is not None:
         hit = hit.where(keep)
     score = F.lit(0.0)
     for i, (w, q) in enumerate(terms.items()):
-        norm = tf[w] + K1 * (1 - B + B * F.size("__t") / F.col("__avg"))
-        score = score + q * idf(F.col("__n"), F.col(f"__df_{i}")) * tf[w] * (K1 + 1) / norm
-    s = hit.join(F.broadcast(stats), how="cross")  # one row of statistics
-    return s.withColumn("bm25", score).select(*docs.columns, "bm25")
+        norm = tf[w] + K1 * (1 - B + B * F.size("__t") / F.lit(float(stats[1]) or 1.0))
+        score = score + q * idf(F.lit(stats[0]), F.lit(stats[2 + i])) * tf[w] * (K1 + 1) / norm
+    return hit.withColumn("bm25", score).select(*docs.columns, "bm25")
 
 
 def best(scored: DataFrame, k: int, score: str = "bm25") -> DataFrame:
@@ -101,10 +100,10 @@ def postings_search(postings: DataFrame, stats: DataFrame, query: str) -> DataFr
     terms = query_terms(query)
     hits = postings.where(F.col("term").isin(list(terms))).select("term", "id", "tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    n, avg = stats.agg(F.count("*"), F.avg("dl")).first()  # one row
     q = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))
-    joined = hits.join(F.broadcast(df), "term").join(stats, "id").join(F.broadcast(corpus), how="cross")  # df: a row for each query term
-    part = q[F.col("term")] * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    joined = hits.join(F.broadcast(df), "term").join(stats, "id")  # df: a row for each query term
+    part = q[F.col("term")] * idf(F.lit(n), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg or 1)))) 
     return joined.groupBy("id").agg(F.sum(part).alias("bm25"))
 
 

@@ -40,9 +40,8 @@ def contact_counts(m: DataFrame, primary: str) -> DataFrame:
 def contact_layers(m: DataFrame, primary: str) -> DataFrame:
     """Contacts by frequency relative to the most frequent one: intimate > .6, close > .3, friend > .1, else acquaintance."""
     c = contact_counts(m, primary)
-    top = c.agg(F.max("cnt").alias("top"))  # one row
-    f = F.col("cnt") / F.col("top")
-    return c.join(F.broadcast(top), how="cross").select(
+    f = F.col("cnt") / F.lit(c.agg(F.max("cnt")).first()[0])  # one number
+    return c.select(
         "name", "cnt", "last_ts", F.round(f, 3).alias("strength"),
         F.when(f > 0.6, "intimate").when(f > 0.3, "close").when(f > 0.1, "friend").otherwise("acquaintance").alias("layer"),
     )
@@ -80,9 +79,8 @@ def median_row(m: DataFrame, column: str) -> DataFrame:
     """The value at position floor(n / 2) in order (no interpolation), with count, mean, min and max."""
     from pyspark.sql import Window
 
-    n = m.agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+    n, mean, least, most = m.agg(F.count(column), F.round(F.avg(column), 6), F.min(column), F.max(column)).first()  # one row
     # values are first counted, so the global order is over distinct values only
     per = m.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    run = per.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
-    at = run.join(F.broadcast(n), F.col("upto") > F.floor(F.col("n") / 2), "inner")
-    return at.groupBy("n", "mean", "least", "most").agg(F.min("v").alias("median"))
+    run = per.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).where(F.col("upto") > n // 2)
+    return run.agg(F.lit(n).alias("n"), F.lit(mean).alias("mean"), F.lit(least).alias("least"), F.lit(most).alias("most"), F.min("v").alias("median"))

@@ -567,8 +567,8 @@ def resolve_entity(spark, d):
 def telemetry_recent(spark, d):
     """Signals of the last day before the newest event."""
     e = table(spark, d, "events")
-    last = e.agg((F.max("ts") - F.expr("interval 24 hours")).alias("cutoff"))
-    return e.where("event_type in ('error', 'signup')").join(F.broadcast(last), F.col("ts") > F.col("cutoff")).select("event_id", "event_type")  # one row
+    cutoff = e.agg(F.max("ts") - F.expr("interval 24 hours")).first()[0]
+    return e.where(F.col("event_type").isin("error", "signup") & (F.col("ts") > F.lit(cutoff).cast("timestamp_ntz"))).select("event_id", "event_type")
 
 
 def _vectors(spark, d):

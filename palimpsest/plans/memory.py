@@ -107,8 +107,8 @@ def any_derived_rows(spark, d):
 
 @add("high_water_delta", with_msg("select id from msg where id > (select max(message_id) * 9 // 10 from vec_messages)"))
 def high_water_delta(spark, d):
-    mark = table(spark, d, "vec_messages").agg(F.expr("max(message_id) * 9 div 10").alias("mark"))
-    return load_messages(spark, d).join(F.broadcast(mark), F.col("id") > F.col("mark")).select("id")
+    mark = table(spark, d, "vec_messages").agg(F.expr("max(message_id) * 9 div 10")).first()[0]
+    return load_messages(spark, d).where(F.col("id") > mark).select("id")
 
 
 @add("median_length_stats", with_msg("""select count(*) n, round(avg(length(content)), 6) mean, min(length(content)) least, max(length(content)) most,
