@@ -27,8 +27,8 @@ LANGS = ("en", "de", "fr", "es", "pt", "nl")
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 3_000
 EM_ROUNDS, LONGEST_PIECE, LONGEST_WORD, CACHE_WORDS = 2, 12, 40, 200_000
 #: A word counts for at most CLIP nats for or against a language; a part of a text in another language needs PART nats.
-#: A whole sentence in another language needs SENTENCE nats.
-CLIP, PART, SENTENCE, MIN_WORDS = 6.0, 16.0, 6.0, 4
+#: A whole sentence in another language needs SENTENCE nats, of which one word gives WORD at most when stretches are looked for.
+CLIP, PART, SENTENCE, WORD, MIN_WORDS = 6.0, 16.0, 6.0, 4.0, 4
 # Accepted names of the languages: English name, two-letter and three-letter codes.
 NAMES = {
     "en": ("english", "en", "eng"), "de": ("german", "de", "deu", "ger"), "fr": ("french", "fr", "fra", "fre"),
@@ -214,10 +214,11 @@ def _posterior(total: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def _other_part(cum: np.ndarray, least: float) -> bool:
-    """Whether some stretch of words is better by ``least`` in another language than the text's (cum: running sums of the gain)."""
+def _other_part(scores: np.ndarray, main: int) -> bool:
+    """Whether some stretch of words is better by SENTENCE in another language than in ``main``; one word adds WORD at most."""
+    cum = np.minimum(scores - scores[:, main : main + 1], WORD).cumsum(axis=0)
     low = np.minimum(np.minimum.accumulate(cum, axis=0), 0)
-    return bool(((cum[1:] - low[:-1]) >= least).any() or (cum[0] >= least).any())
+    return bool(((cum[1:] - low[:-1]) >= SENTENCE).any())
 
 
 def split_languages(scores: np.ndarray, ends: set[int]) -> list[tuple[int, int, int]]:
@@ -255,7 +256,7 @@ def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, every:
         return []
     total = every.sum(0, dtype=np.float64)
     main = int(total.argmax())
-    pure = not _other_part(np.cumsum(every - every[:, main : main + 1], axis=0), SENTENCE)
+    pure = not _other_part(every, main)
     if pure and label == LANGS[main]:
         return []
     rows: list[tuple[int, str]] = []
@@ -272,17 +273,18 @@ def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, every:
         return [(no, main, c, len(text_words(p))) for no, p in rows]
     out: list[tuple[int, int, float, int]] = []
     for no, p in rows:
-        ws, starts = [], {0}
-        for sentence in _BREAK.split(p):
-            ws += text_words(sentence)
-            starts.add(len(ws))
-        s = scorer.scores(ws).astype(np.float64)
-        sums = s.sum(0)
+        s = scorer.scores(text_words(p))
+        sums = s.sum(0, dtype=np.float64)
         top = int(sums.argmax())
         if sums[top] - sums[main] < SENTENCE:
             top = main
         found: dict[int, list] = {}
-        if _other_part(np.cumsum(s - s[:, top : top + 1], axis=0), SENTENCE):
+        if _other_part(s, top):
+            starts, n = {0}, 0
+            for sentence in _BREAK.split(p):
+                n += len(text_words(sentence))
+                starts.add(n)
+            s = s.astype(np.float64)
             parts = split_languages(s, starts)
             weight = Counter()
             for a, b, lang in parts:
@@ -296,7 +298,7 @@ def paragraph_parts(text: str, scorer: Scorer, label: str | None = None, every:
         else:
             found[top] = [(0, len(s))]
         for lang, spans in found.items():
-            part = sum((s[a:b].sum(0) for a, b in spans), np.zeros(s.shape[1]))
+            part = sum((s[a:b].sum(0, dtype=np.float64) for a, b in spans), np.zeros(s.shape[1]))
             out.append((no, lang, float(_posterior(part)[lang]), sum(b - a for a, b in spans)))
     if label is not None and all(LANGS[r[1]] == label for r in out):
         return []
