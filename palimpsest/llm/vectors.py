@@ -8,8 +8,10 @@ stored vectors, and each row's best are merged by per-group heaps (window group
 
 All-pairs searches are blocked by cells: a bounded sample of the vectors are the cells'
 centres, and each vector enters its PROBES nearest cells, so two vectors meet unless they
-share none of these; every vector is indexed. Cells are cut into blocks of BLOCK rows and
-block pairs are the unit of work, so a cell of any size spreads over tasks.
+share none of these; every vector is indexed. Where every link has to be found (``covered``),
+the cells are balls around dense places and one open cell for all vectors in no ball, and a
+vector enters each ball that the triangle inequality on angles can't exclude. Cells are cut
+into blocks and block pairs are the unit of work, so a cell of any size spreads over tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from palimpsest.runtime import store
 DIM, K, PROBES, BLOCK = 64, 5, 5, 2_048
 #: Cells: one for CELL_ROWS vectors, at most MAX_CELLS (a broadcast of MAX_CELLS * DIM floats, 4 MB).
 CELL_ROWS, MAX_CELLS = 256, 16_384
+#: Balls: found in a sample of one in BALL_ROWS vectors, at most MAX_CELLS, where at least BALL_LEAST of them lie together. They only save work.
+BALL_ROWS, BALL_LEAST = 4, 4
+#: Angles: what is added to a ball's radius, and what covers the rounding of float32 angles.
+MARGIN, SLACK = 0.08, 0.005
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -79,12 +85,48 @@ def products(ca: np.ndarray, sa: np.ndarray, ea: np.ndarray, cb: np.ndarray, sb:
 
 def centres(rows: DataFrame, n: int) -> np.ndarray:
     """Cell centres: the vectors with the smallest hashes of their ids, one for CELL_ROWS rows and at most MAX_CELLS."""
-    want = int(min(MAX_CELLS, max(1, -(-n // CELL_ROWS))))
+    return _sample(rows, int(min(MAX_CELLS, max(1, -(-n // CELL_ROWS)))))
+
+
+def _sample(rows: DataFrame, want: int) -> np.ndarray:
     picked = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(want).collect()  # bounded by MAX_CELLS
     return units([bytes(r["vec"]) for r in picked]).astype(np.float32) if picked else np.zeros((0, DIM), np.float32)
 
 
-def _coder(bc, probes: int):
+def balls(sample: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii (angles) of balls around the dense places of a sample, densest first."""
+    near = np.concatenate([(sample[at : at + 1_024] @ sample.T >= link).sum(1) for at in range(0, len(sample), 1_024)]) if len(sample) else np.zeros(0, int)
+    left, centre, radius = np.ones(len(sample), bool), [], []
+    for i in np.argsort(-near, kind="stable"):
+        if near[i] < BALL_LEAST:
+            break
+        if not left[i]:
+            continue
+        m = sample[i]
+        for _ in range(3):
+            m = sample[sample @ m >= link - 0.05].mean(0)
+            m /= np.linalg.norm(m)
+        c = sample @ m
+        own = c >= link - 0.05
+        left[own] = False
+        left[i] = False
+        if own.sum() >= BALL_LEAST:
+            centre.append(m)
+            radius.append(np.arccos(min(1.0, c[own].min())) + MARGIN)
+    return np.array(centre, np.float32).reshape(-1, sample.shape[1]), np.array(radius, np.float32)
+
+
+def entered(x: np.ndarray, centre: np.ndarray, radius: np.ndarray, link: float) -> np.ndarray:
+    """Mask of the cells that unit vectors enter: the balls within reach of a link, and the last, open cell for those in no ball.
+
+    Two vectors of an angle of at most acos(link) meet: both in no ball, in the open cell; else one lies in a
+    ball, and the other is at most its radius and that angle away from the ball's centre.
+    """
+    angle = np.arccos(np.clip(x.astype(np.float32) @ centre.T, -1, 1))
+    return np.hstack([angle <= radius + np.float32(np.arccos(link) + SLACK), ~(angle <= radius).any(1, keepdims=True)])
+
+
+def _coder(bc, probes: int, link: float | None = None):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bc.value if bc is not None else None
         for whole in batches:
@@ -93,7 +135,9 @@ def _coder(bc, probes: int):
                 x = units(b.column(1).to_pylist())
                 codes, scale, err = quantise(x)
                 cells = [[]] * len(x)
-                if c is not None:
+                if link is not None and c is not None:
+                    cells = [np.flatnonzero(m).tolist() for m in entered(x, *c, link)]
+                elif c is not None:
                     p = x.astype(np.float32) @ c.T
                     k = min(probes, p.shape[1])
                     cells = np.sort(np.argpartition(-p, k - 1, axis=1)[:, :k], axis=1).tolist()
@@ -114,10 +158,17 @@ def coded(rows: DataFrame, probes: int = PROBES) -> DataFrame:
     return store(rows.select("id", "vec").mapInArrow(_coder(bc, probes), CODED))
 
 
-def tiles(code: DataFrame) -> DataFrame:
-    """Rows spread over block pairs: (tile struct<cell, a, b>, side, id, code, scale, err, cells), sorted by tile within partitions."""
+def covered(rows: DataFrame, link: float) -> DataFrame:
+    """Like ``coded``, with cells in which any two vectors of a cosine of at least ``link`` meet."""
+    n = rows.count()
+    bc = rows.sparkSession.sparkContext.broadcast(balls(_sample(rows, int(min(MAX_CELLS, -(-n // BALL_ROWS)))), link)) if n else None
+    return store(rows.select("id", "vec").mapInArrow(_coder(bc, 0, link), CODED))
+
+
+def tiles(code: DataFrame, wide: int = 1) -> DataFrame:
+    """Rows spread over pairs of blocks of ``wide`` * BLOCK rows: (tile struct<cell, a, b>, side, id, code, scale, err, cells), sorted by tile within partitions."""
     sizes = code.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    blocks = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))  # one row for each cell
+    blocks = sizes.select("cell", F.ceil(F.col("count") / (wide * BLOCK)).cast("int").alias("n"))  # one row for each cell
     at = code.select("*", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
     at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return (
@@ -138,8 +189,17 @@ class Tile:
         self.left = np.arange(len(rows)) if self.a == self.b else np.flatnonzero(~side_)
         self.right = self.left if self.a == self.b else np.flatnonzero(side_)
 
-    def products(self) -> tuple[np.ndarray, np.ndarray]:
-        x, y = self.left, self.right
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of the pairs of stretches of BLOCK rows; a stretch with itself is one array twice."""
+        cut = lambda rows: [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
+        left = cut(self.left)
+        right = left if self.a == self.b else cut(self.right)
+        for i, x in enumerate(left):
+            for y in right[i:] if self.a == self.b else right:
+                yield x, y
+
+    def products(self, x: np.ndarray | None = None, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (self.left, self.right) if x is None else (x, y)
         return products(self.codes[x], self.scale[x], self.err[x], self.codes[y], self.scale[y], self.err[y])
 
     def first_meeting(self, i: int, j: int) -> bool:
@@ -147,6 +207,15 @@ class Tile:
         return min(set(self.cells[i]) & set(self.cells[j])) == self.cell
 
 
+    def may_link(self, x: np.ndarray, y: np.ndarray, link: float) -> bool:
+        """Whether any pair of two stretches can reach ``link``, by the largest error bound of all."""
+        p = (self.codes[x].astype(np.float32) * self.scale[x, None]) @ (self.codes[y].astype(np.float32) * self.scale[y, None]).T
+        if x is y:
+            np.fill_diagonal(p, -1)
+        e, f = self.err[x].max(), self.err[y].max()
+        return bool(p.max() + e + (1 + e) * f + 1e-4 >= link)
+
+
 def each_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
     key, held = None, []
     for b in batches:
