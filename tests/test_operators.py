@@ -144,3 +144,20 @@ def test_every_query_is_registered_once():
     names = list(entry.queries())
     assert len(names) == len(set(names)) and set(entry.oracle_sql()) <= set(names)
     assert {"p2_found", "p6_found", "hybrid_topk"} <= set(names)
+
+
+def test_each_fact_pattern_finds_its_fact(spark):
+    want = [
+        ("personal", "medium", "I'm a nurse from Lyon"), ("personal", "medium", "call me José"), ("personal", "medium", "I live in Oslo"), ("personal", "medium", "I work at Brightwater"),
+        ("preference", "low", "I like green tea"), ("preference", "low", "I avoid red meat"), ("preference", "low", "I never eat late"),
+        ("correction", "low", "no, it's the second door"), ("correction", "low", "I meant the other one"),
+        ("temporal", "low", "until March 14 at noon"), ("temporal", "low", "next week the audit begins"), ("temporal", "low", "scheduled for Tuesday"),
+        ("technical", "low", "our stack is Spark"), ("technical", "low", "we deployed the gateway"), ("technical", "low", "our architecture has two tiers"),
+        ("activity", "low", "working on the parser"), ("activity", "low", "we're building a bridge"),
+        ("event", "low", "we started the trial"), ("event", "low", "we shipped the release"), ("event", "low", "I switched to tea"),
+        ("relationship", "low", "we hired a cook"), ("decision", "low", "we decided to wait"),
+    ]
+    m = spark.createDataFrame([(i, f"So {fact}.") for i, (_, _, fact) in enumerate(want)] + [(98, "we’re using Kafka, since monday"), (99, "we chose Rust")], "id bigint, content string")
+    got = {tuple(r) for r in ing.pattern_facts(m).collect()}
+    assert len(ing.FACTS) == 22 and {(i, *w) for i, w in enumerate(want)} <= got
+    assert {r[1:] for r in got if r[0] == 98} == {("technical", "low", "we're using Kafka")} and {r[1] for r in got if r[0] == 99} == {"technical", "decision"}
