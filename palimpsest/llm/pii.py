@@ -6,7 +6,9 @@ exponential of the sum of its segments' weights (text outside segments weighs 0,
 neighbouring segments weigh by their types); dynamic programming over segment ends finds
 the best segmentation, so boundaries and types are decided jointly. A segment has at most
 MAX_SEGMENT characters. Weights are trained here, by gradient ascent on the likelihood of
-TRAINING_TEXTS made-up texts; names of persons help through a lexicon of known ones.
+TRAINING_TEXTS and NEW_TEXTS made-up texts. Candidates for names of persons are spans around a
+family name of the lexicon of known ones, in any case, and spans of capitalised words or initials;
+whether the lexicon knows their parts is a feature.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 MAX_SEGMENT, TRAINING_TEXTS, TRAINING_ROUNDS, CUE_WORDS = 120, 1_500, 60, 3
-#: At most this many known persons are broadcast; with more, the most frequent name parts are kept (they are only a feature).
-LEXICON_PERSONS = 50_000
+#: Made-up texts more, with names and capitalised words that are in no lexicon.
+NEW_TEXTS = 600
 
 _W = r"[^\W\d_]"
 _NAMEWORD = rf"{_W}+(?:[-'’]{_W}+)*"
@@ -96,14 +98,14 @@ class Lexicon:
             for i in range(3, len(f) - 2):
                 heads[f[:i]].add(f[i:])
                 tails[f[i:]].add(f[:i])
-        heads = {h for h, t in heads.items() if len(t) >= 3}
-        tails = {t for t, h in tails.items() if len(h) >= 3}
-        self.like: set[str] = set()
-        if len(heads) * len(tails) <= 200_000:
-            self.like = {h + t for h in heads for t in tails} - self.family
+        self.heads = {h for h, t in heads.items() if len(t) >= 3}
+        self.tails = {t for t, h in tails.items() if len(h) >= 3}
 
-    def known(self) -> set[str]:
-        return self.family | self.like
+    def known(self, w: str) -> bool:
+        return w in self.family or self.like(w)
+
+    def like(self, w: str) -> bool:
+        return any(w[:i] in self.heads and w[i:] in self.tails for i in range(3, len(w) - 2))
 
 
 def _before(text: str, at: int) -> list[str]:
@@ -178,9 +180,49 @@ def _shape(w: str) -> str:
     return "up" if len(w) > 1 and w.isupper() else "cap" if w[0].isupper() else "low"
 
 
-def _name_candidates(text: str, lex: Lexicon, known: set[str]) -> list[tuple[int, int, list[str]]]:
+_TITLES = set("ask mr mrs ms miss dr prof dentist doctor friend colleague boss neighbour sister brother lawyer landlord named called met signed regards".split())
+_THINGS = {"hall", "desk", "street", "road", "lane", "avenue", "group", "plan", "house", "test", "example", "invalid"}
+
+
+def _new_names(text: str, tokens: list[tuple[int, int, str]], known: set[str], lex: Lexicon) -> list[tuple[int, int, list[str]]]:
+    """Spans of capitalised words and initials whose family name no lexicon knows, with features of their own."""
+    out = []
+    shape = [_shape(text[a:b]) if b - a > 1 else "init" if text[a].isupper() else "low" for a, b, _ in tokens]
+
+    def add(form: str, i: int, j: int, g: int, fam: int) -> None:
+        x, y, kind = tokens[i][0], tokens[j][1], "init" if shape[g] == "init" else "given" if tokens[g][2] in lex.given else "word"
+        beside = [shape[q] for q in (i - 1, j + 1) if 0 <= q < len(tokens) and tokens[q][2] not in _TITLES]
+        if kind != "given" and beside and (set(beside) & {"up", "init"} if shape[fam] == "up" else set(beside) == {"cap"}):
+            return  # all words around have capitals, so they say nothing
+        before, nxt = _before(text, x), _TOKEN.search(text[y : y + 20])
+        title = bool(before) and before[-1] in _TITLES
+        start = not text[:x].rstrip() or text[:x].rstrip()[-1] in ".!?:-" and not title
+        f = ["new", f"new:{form}", f"new:{kind}", f"new:{kind}:title{title}", f"new:{kind}:{shape[fam]}", f"new:{kind}:start{start}"]
+        if before and "name" in _CUE_OF.get(before[-1], ()):
+            f.append(f"new:{kind}:cue")
+        if nxt and nxt[0].lower() in _AFTER:
+            f.append(f"new:{kind}:after")
+        if before and before[-1] in ("project", "lake", "the", "a", "in", "to", "at") or nxt and nxt[0].lower() in _THINGS or tokens[fam][2] in _THINGS:
+            f.append("new:thing")
+        out.append((x, y, f))
+
+    word = lambda i: tokens[i][2] not in _CUE_OF and tokens[i][2] not in _AFTER
+    for k, (a, b, w) in enumerate(tokens):
+        if shape[k] not in ("cap", "up") or b - a < 3 or w in known or not word(k):
+            continue
+        if k and shape[k - 1] == "init" and re.fullmatch(r"\.?\s+", text[tokens[k - 1][1] : a]) and tokens[k - 1][2] != "i":
+            add("if", k - 1, k, k - 1, k)
+            if k > 1 and shape[k - 2] == shape[k] and word(k - 2) and text[tokens[k - 2][1] : tokens[k - 1][0]].isspace():
+                add("gif", k - 2, k, k - 2, k)
+        elif k and shape[k - 1] == shape[k] and word(k - 1) and re.fullmatch(r"[^\S\n]+", text[tokens[k - 1][1] : a]):
+            add("gf", k - 1, k, k - 1, k)
+        if k + 1 < len(tokens) and tokens[k + 1][2] in lex.given and shape[k + 1] == shape[k] and re.fullmatch(r",\s", text[b : tokens[k + 1][0]]):
+            add("f,g", k, k + 1, k + 1, k)
+    return out
+
+
+def _name_candidates(text: str, lex: Lexicon, tokens: list[tuple[int, int, str]], known: set[str]) -> list[tuple[int, int, list[str]]]:
     """Spans around each known or likely family name, with features."""
-    tokens = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
     out = []
     for k, (a, b, w) in enumerate(tokens):
         if w not in known:
@@ -239,7 +281,11 @@ def _name_candidates(text: str, lex: Lexicon, known: set[str]) -> list[tuple[int
     return out
 
 
-def candidates(text: str, lex: Lexicon, known: set[str]) -> list[tuple[int, int, str, list[str]]]:
+#: A capital soon followed by another word with a capital (letters of other scripts may pass without being one).
+_TWO_CAPITALS = re.compile(r"[^\W\d_a-z][\w'’]*[.,]?\s+[^\W\d_a-z]")
+
+
+def candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]:
     """Candidate segments (begin, end, kind, features) of a text."""
     out: list[tuple[int, int, str, list[str]]] = []
     low = text.lower()
@@ -265,8 +311,14 @@ def candidates(text: str, lex: Lexicon, known: set[str]) -> list[tuple[int, int,
             for m in ADDRESS.finditer(text):
                 a, b = m.span()
                 out.append((a, b, "address", [*_address_features(text, a, b), *_context("address", text, a, b)]))
-    if not known.isdisjoint(tokens):
-        out += [(a, b, "name", f) for a, b, f in _name_candidates(text, lex, known)]
+    known = {w for w in tokens if lex.known(w)}
+    capitals = _TWO_CAPITALS.search(text)
+    if known or capitals:
+        spans = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
+        if known:
+            out += [(a, b, "name", f) for a, b, f in _name_candidates(text, lex, spans, known)]
+        if capitals:
+            out += [(a, b, "name", f) for a, b, f in _new_names(text, spans, known, lex)]
     return [c for c in out if c[1] - c[0] <= MAX_SEGMENT]
 
 
@@ -391,16 +443,33 @@ _GIVEN = "Arden Brisa Colm Dessa Elric Fenna Garrin Hedda Ivo Jessamy Kerrin Lys
 _FAMILY = [h + t for h in ("Ash", "Black", "Cold", "Dunn", "East", "Fair", "Green", "Hart") for t in ("borough", "combe", "field", "ley", "mere", "stead", "ton", "wood")]
 
 
+def _made_up_new(rng: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
+    """One training text with a name, or capitalised words that are none, of made-up syllables."""
+    syl = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    cap = lambda: syl().capitalize()
+    if rng.random() < 0.5:
+        return rng.choice([
+            f"the {cap()} {cap()} board met", f"{cap()} {cap()} ships today", f"we use {cap()} {cap()} for {syl()}", f"in {cap()} {cap()} it rained", f"flight to {cap()} {cap()} is late", f"trip from {cap()} {cap()} to {cap()}",
+            f"meet at {cap()} {cap()}", f"with {cap()} {cap()} installed", f"{cap()} {cap()} was slow", f"Project {cap()} {cap()} is out", f"the {cap()} Hall and the {cap()} Desk", f"plan {rng.choice('ABCX')} {cap()} wins", f"{cap()} {cap()}, {cap()} and {cap()}",
+        ]) + ".", set()
+    cue = rng.choice(["ask ", "Ms ", "Mr. ", "Dr. ", "my dentist ", "I met ", "my friend ", "our landlord ", "a colleague named ", "contact ", "with ", "from ", "", ""])
+    known = rng.choice(_GIVEN)
+    g, f, i = known if not cue.strip() or cue in ("with ", "from ", "contact ") or rng.random() < 0.5 else cap(), cap(), rng.choice("ABCDEFGHKLMNPRST")
+    name = rng.choice([f"{g} {f}"] * 5 + [f"{g} {i}. {f}", f"{g[0]}. {f}", f"{f}, {known}"])
+    text = rng.choice(["", "so ", f"the {syl()} is done, "]) + cue
+    return text + name + rng.choice([" called about it", ", moved away", f" at the {syl()} fair", " said so", " and others"]) + ".", {(len(text), len(text) + len(name), "name")}
+
+
 def train(seed: int = 7) -> Field:
     """Weights by gradient ascent on the conditional likelihood, with a small quadratic penalty."""
     rng = random.Random(seed)
     lex = Lexicon([f"{g} {f}".lower() for k, f in enumerate(_FAMILY) if k % 3 for g in (rng.choice(_GIVEN), rng.choice(_GIVEN))])
-    known = lex.known()
     names: dict[str, int] = {}
     data = []
-    for _ in range(TRAINING_TEXTS):
-        text, segs = _made_up(rng, lex)
-        cs = sorted(candidates(text, lex, known), key=lambda c: (c[1], c[0]))
+    new = random.Random(seed + 1)
+    for k in range(TRAINING_TEXTS + NEW_TEXTS):
+        text, segs = _made_up(rng, lex) if k < TRAINING_TEXTS else _made_up_new(new)
+        cs = sorted(candidates(text, lex), key=lambda c: (c[1], c[0]))
         if not cs:
             continue
         feats = [np.array([names.setdefault(f, len(names)) for f in c[3]]) for c in cs]
@@ -441,18 +510,18 @@ def trained() -> Field:
 
 
 def lexicon(profiles: DataFrame) -> Lexicon:
-    """The known persons (entity): at most LEXICON_PERSONS, those with the most rows first."""
-    rows = profiles.where("entity is not null").groupBy(F.lower(F.trim("entity")).alias("e")).count().orderBy(F.desc("count"), "e").limit(LEXICON_PERSONS).collect()
-    return Lexicon([r["e"] for r in rows])
+    """The known persons (entity), by their distinct first and last words."""
+    words = F.split(F.lower(F.trim("entity")), r"\s+")
+    return Lexicon([" ".join(r) for r in profiles.where("entity is not null").select(words.alias("w")).where(F.size("w") >= 2).select(F.col("w")[0], F.element_at("w", -1)).distinct().collect()])
 
 
 class Finder:
     def __init__(self, field: Field, lex: Lexicon):
-        self.field, self.lex, self.known = field, lex, lex.known()
+        self.field, self.lex = field, lex
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
         """(begin, end, kind) in order, without overlaps; [] for null, empty and clean texts."""
-        return self.field.best(candidates(text, self.lex, self.known)) if text else []
+        return self.field.best(candidates(text, self.lex)) if text else []
 
     def mask(self, text: str | None) -> str | None:
         if text is None:

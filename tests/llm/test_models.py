@@ -95,3 +95,17 @@ def test_tables_and_masks(spark, finder):
     masked = {r["id"]: r["content"] for r in mask_pii(m, p, field=finder.field).collect()}
     assert masked[1] == "call me on [PHONE] now" and masked[2] is None and masked[4] == "x " * 60_000
     assert find_pii(m.limit(0), p, finder.field).count() == 0 and find_pii(m, p.limit(0), finder.field).where(F.col("kind") == "name").count() == 0
+
+
+def test_names_beyond_the_lexicon(finder):
+    for text, name in (("please ask Fenna Zuvorak about it.", "Fenna Zuvorak"), ("I met Dr. Karel Zuvorak at the fair.", "Karel Zuvorak"), ("so Mr. K. Zuvorak said so.", "K. Zuvorak")):
+        assert [(text[a:b], k) for a, b, k in finder.find(text)] == [(name, "name")]
+    for text in ("we use Apache Zuvorak for it.", "the Mikado Zuvorak board met.", "flight to Novi Zuvorak is late."):
+        assert finder.find(text) == []
+
+
+def test_likely_names_at_any_size_of_the_lexicon():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    heads, tails = [f"h{a}{b}" for a in letters for b in letters], [f"{a}{b}q" for a in letters for b in letters]
+    lex = Lexicon([f"ann {h}{tails[(k + d) % len(tails)]}" for k, h in enumerate(heads) for d in range(4)])
+    assert lex.known(heads[0] + tails[300]) and not lex.known("zzz" + tails[300])
