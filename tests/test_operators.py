@@ -131,6 +131,12 @@ def test_chunks_keep_every_paragraph(spark):
     assert "\n\n".join(got) == text and all(len(x) <= 40 for x in got)
 
 
+def test_long_texts_keep_their_tail(spark):
+    text = "\n\n".join(f"{n:030d}" for n in range(50))
+    got = [r["text"] for r in ing.chunked(spark.createDataFrame([(1, text)], "doc bigint, text string"), 40).orderBy("chunk").collect()]
+    assert len(got) == 50 and "\n\n".join(got) == text
+
+
 def test_scan_holds_the_watermark_while_files_are_left(spark):
     f = spark.createDataFrame([(f"s{i}", datetime(2024, 1, i + 1)) for i in range(5)], "session_id string, mtime timestamp_ntz")
     taken, mark = st.stale_scan(f, "2024-01-01 12:00:00", 3)
