@@ -167,3 +167,10 @@ def test_each_fact_pattern_finds_its_fact(spark):
     got = {tuple(r) for r in ing.pattern_facts(m).collect()}
     assert len(ing.FACTS) == 22 and {(i, *w) for i, w in enumerate(want)} <= got
     assert {r[1:] for r in got if r[0] == 98} == {("technical", "low", "we're using Kafka")} and {r[1] for r in got if r[0] == 99} == {"technical", "decision"}
+
+
+def test_not_anymore_is_a_change(spark):
+    from palimpsest.operators.consolidation import changes
+
+    m = spark.createDataFrame([(1, "1", "We do not use Jira anymore.", False), (2, "2", "we no longer use Slack", False), (3, "3", "not now", False)], "id bigint, ts string, content string, directive boolean")
+    assert {(r["id"], r["kind"], r["new_fact"]) for r in changes(m).collect()} == {(1, "negation_change", "use Jira"), (2, "negation_change", "use")}
