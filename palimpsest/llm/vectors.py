@@ -34,6 +34,23 @@ BALL_ROWS, BALL_LEAST = 4, 4
 MARGIN, SLACK = 0.08, 0.005
 
 
+def matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """The rows of a binary column, all of ``width`` numbers, as one array, without a Python object for each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), width)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each row."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, vec, dir): each message_id once whose embedding has ``dim`` finite numbers, not all zero.
 
@@ -42,29 +59,28 @@ def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         import xxhash
 
         for b in batches:
-            ids, vecs, dirs = [], [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
-                x = v.values
-                if x is None or len(x) != dim or x.null_count:
-                    continue
-                a = x.to_numpy().astype(np.float64)
-                if not np.isfinite(a).all() or not a.any():
-                    continue
-                u = np.round(a / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max()), 6) + 0.0
-                ids.append(i)
-                vecs.append(a.astype("<f4").tobytes())
-                dirs.append(xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(dirs, pa.int64())], ["id", "vec", "dir"])
+            right = pc.equal(pc.list_value_length(b.column(1)), dim)
+            ids, flat = b.column(0).filter(right), b.column(1).filter(right).flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
+            good = np.isfinite(x).all(1) & x.any(1)
+            a = x[good]
+            u = a / np.abs(a).max(1, keepdims=True)
+            u = np.round(u / np.linalg.norm(u, axis=1, keepdims=True), 6) + 0.0
+            dirs = [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in u]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), binary(a.astype("<f4")), pa.array(dirs, pa.int64())], ["id", "vec", "dir"])
 
     rows = vectors.where("message_id is not null and embedding is not null").select(F.col("message_id").cast("bigint"), F.col("embedding").cast("array<float>"))
     return rows.mapInArrow(shape, "id bigint, vec binary, dir bigint").dropDuplicates(["id"])
 
 
-def units(vecs: list[bytes], dim: int = DIM) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), dtype="<f4").reshape(-1, dim).astype(np.float64)
+def units(vecs: list[bytes] | pa.Array, dim: int = DIM) -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), "<f4").reshape(-1, dim) if isinstance(vecs, list) else matrix(vecs, "<f4", dim)
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -132,18 +148,19 @@ def _coder(bc, probes: int, link: float | None = None):
         for whole in batches:
             for at in range(0, whole.num_rows, 2_048):
                 b = whole.slice(at, 2_048)
-                x = units(b.column(1).to_pylist())
+                x = units(b.column(1))
                 codes, scale, err = quantise(x)
-                cells = [[]] * len(x)
+                ends, cells = np.zeros(len(x) + 1, np.int32), np.zeros(0, np.int32)
                 if link is not None and c is not None:
-                    cells = [np.flatnonzero(m).tolist() for m in entered(x, *c, link)]
+                    row, cells = np.nonzero(entered(x, *c, link))
+                    ends[1:] = np.bincount(row, minlength=len(x)).cumsum()
                 elif c is not None:
                     p = x.astype(np.float32) @ c.T
                     k = min(probes, p.shape[1])
-                    cells = np.sort(np.argpartition(-p, k - 1, axis=1)[:, :k], axis=1).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(scale), pa.array(err), pa.array(cells, pa.list_(pa.int32()))], ["id", "code", "scale", "err", "cells"]
-                )
+                    cells = np.sort(np.argpartition(-p, k - 1, axis=1)[:, :k], axis=1).ravel()
+                    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(k)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), binary(codes), pa.array(scale), pa.array(err), lists], ["id", "code", "scale", "err", "cells"])
 
     return code
 
@@ -165,14 +182,14 @@ def covered(rows: DataFrame, link: float) -> DataFrame:
     return store(rows.select("id", "vec").mapInArrow(_coder(bc, 0, link), CODED))
 
 
-def tiles(code: DataFrame, wide: int = 1) -> DataFrame:
-    """Rows spread over pairs of blocks of ``wide`` * BLOCK rows: (tile struct<cell, a, b>, side, id, code, scale, err, cells), sorted by tile within partitions."""
+def tiles(code: DataFrame, wide: int = 1, cells: bool = True) -> DataFrame:
+    """Rows spread over pairs of blocks of ``wide`` * BLOCK rows: (cell, a, b, side, id, code, scale, err, cells), sorted by tile within partitions."""
     sizes = code.select(F.explode("cells").alias("cell")).groupBy("cell").count()
     blocks = sizes.select("cell", F.ceil(F.col("count") / (wide * BLOCK)).cast("int").alias("n"))  # one row for each cell
     at = code.select("*", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
     at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return (
-        at.select("cell", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("side"), "id", "code", "scale", "err", "cells")
+        at.select("cell", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).alias("side"), "id", "code", "scale", "err", *["cells"] * cells)
         .repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
     )
 
@@ -180,53 +197,44 @@ def tiles(code: DataFrame, wide: int = 1) -> DataFrame:
 class Tile:
     """The rows of one block pair; ``left`` and ``right`` are row numbers (the same for a block with itself)."""
 
-    def __init__(self, key: tuple[int, int, int], rows: list):
+    def __init__(self, key: tuple[int, int, int], rows: pa.Table, dim: int = DIM):
         self.cell, self.a, self.b = key
-        side, self.ids, codes, scale, err, self.cells = (list(c) for c in zip(*rows))
-        self.codes = np.frombuffer(b"".join(codes), np.int8).reshape(len(rows), -1)
-        self.scale, self.err = np.array(scale, np.float32), np.array(err, np.float32)
-        side_ = np.array(side)
-        self.left = np.arange(len(rows)) if self.a == self.b else np.flatnonzero(~side_)
-        self.right = self.left if self.a == self.b else np.flatnonzero(side_)
-
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row numbers of the pairs of stretches of BLOCK rows; a stretch with itself is one array twice."""
-        cut = lambda rows: [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
-        left = cut(self.left)
-        right = left if self.a == self.b else cut(self.right)
-        for i, x in enumerate(left):
-            for y in right[i:] if self.a == self.b else right:
-                yield x, y
+        self.ids = rows.column("id").to_numpy()
+        self.codes = matrix(rows.column("code"), "i1", dim)
+        self.scale, self.err = rows.column("scale").to_numpy(), rows.column("err").to_numpy()
+        self.cells = None
+        if "cells" in rows.column_names:  # each row enters as many
+            self.cells = rows.column("cells").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        side = rows.column("side").to_numpy(zero_copy_only=False)
+        self.left = np.arange(len(side)) if self.a == self.b else np.flatnonzero(~side)
+        self.right = self.left if self.a == self.b else np.flatnonzero(side)
 
     def products(self, x: np.ndarray | None = None, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         x, y = (self.left, self.right) if x is None else (x, y)
         return products(self.codes[x], self.scale[x], self.err[x], self.codes[y], self.scale[y], self.err[y])
 
-    def first_meeting(self, i: int, j: int) -> bool:
-        """Whether this cell is the first that two rows share (they may meet in several)."""
-        return min(set(self.cells[i]) & set(self.cells[j])) == self.cell
-
-
-    def may_link(self, x: np.ndarray, y: np.ndarray, link: float) -> bool:
-        """Whether any pair of two stretches can reach ``link``, by the largest error bound of all."""
-        p = (self.codes[x].astype(np.float32) * self.scale[x, None]) @ (self.codes[y].astype(np.float32) * self.scale[y, None]).T
-        if x is y:
-            np.fill_diagonal(p, -1)
-        e, f = self.err[x].max(), self.err[y].max()
-        return bool(p.max() + e + (1 + e) * f + 1e-4 >= link)
+    def first_meeting(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether this cell is the first that the rows i and j share (they may meet in several)."""
+        both = (self.cells[i][:, :, None] == self.cells[j][:, None, :]).any(2)
+        return np.where(both, self.cells[i], np.iinfo(np.int32).max).min(1) == self.cell
 
 
 def each_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
+    """The tiles of a partition sorted by (cell, a, b); a tile's rows may come in several batches."""
     key, held = None, []
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns)):
-            if r[:3] != key:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for x, y in zip(cuts, cuts[1:]):
+            if (now := tuple(keys[x].tolist())) != key:
                 if held:
-                    yield Tile(key, held)
-                key, held = r[:3], []
-            held.append(r[3:])
+                    yield Tile(key, pa.Table.from_batches(held))
+                key, held = now, []
+            held.append(b.slice(x, y - x))
     if held:
-        yield Tile(key, held)
+        yield Tile(key, pa.Table.from_batches(held))
 
 
 def best_by_bounds(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
@@ -237,27 +245,38 @@ def best_by_bounds(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     return high >= kth[:, None]
 
 
+def _top_hits(row: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """The same of sparse entries: mask of those that can be among their row's k largest."""
+    order = np.lexsort((-low, row))
+    begin = np.flatnonzero(np.diff(row[order], prepend=-1))
+    size = np.diff(begin, append=len(row))
+    kth = np.full(len(begin), -np.inf)
+    kth[size > k] = low[order][begin[size > k] + k - 1]
+    keep = np.zeros(len(row), bool)
+    keep[order] = high[order] >= np.repeat(kth, size)
+    return keep
+
+
 def _survivors(threshold: float, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_tile(batches):
             p, e = t.products()
-            hit = p + e >= threshold
             if t.a == t.b:
-                np.fill_diagonal(hit, False)
-            if not hit.any():
+                np.fill_diagonal(p, -2)
+            i, j = np.nonzero(p + e >= threshold)
+            if not len(i):
                 continue
-            src, dst = [], []
-            for m, x, y, pp, ee in ((hit, t.left, t.right, p, e), *(() if t.a == t.b else ((hit.T, t.right, t.left, p.T, e.T),))):
-                for i in np.flatnonzero(m.any(1)):
-                    js = np.flatnonzero(m[i])
-                    if len(js) > k:
-                        js = js[best_by_bounds((pp[i, js] - ee[i, js])[None, :], (pp[i, js] + ee[i, js])[None, :], k)[0]]
-                    for j in js:
-                        if t.first_meeting(x[i], y[j]):
-                            src.append(t.ids[x[i]])
-                            dst.append(t.ids[y[j]])
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            low, high = p[i, j] - e[i, j], p[i, j] + e[i, j]
+            x, y = t.left[i], t.right[j]
+            a = _top_hits(i, low, high, k)
+            src, dst = [x[a]], [y[a]]
+            if t.a != t.b:
+                a = _top_hits(j, low, high, k)
+                src.append(y[a])
+                dst.append(x[a])
+            s, d = np.concatenate(src), np.concatenate(dst)
+            first = t.first_meeting(s, d)
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids[s[first]]), pa.array(t.ids[d[first]])], ["src", "dst"])
 
     return find
 
@@ -265,7 +284,7 @@ def _survivors(threshold: float, k: int):
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            c = np.einsum("ij,ij->i", units(b.column(2).to_pylist()), units(b.column(3).to_pylist()))
+            c = np.einsum("ij,ij->i", units(b.column(2)), units(b.column(3)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(c, 12))], ["src", "dst", "cosine"])
 
 
@@ -321,7 +340,7 @@ def _top_survivors(k: int):
             for at in range(0, len(t.left), 256):
                 x = t.left[at : at + 256]
                 p, e = products(t.codes[x], t.scale[x], t.err[x], t.codes[t.right], t.scale[t.right], t.err[t.right])
-                ids, right = np.array(t.ids), t.right
+                ids, right = t.ids, t.right
                 keep = best_by_bounds(p - e, p + e, k + 1)  # one more, as a row meets itself
                 i, j = np.nonzero(keep)
                 src, dst = ids[x[i]], ids[right[j]]
@@ -342,7 +361,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     n_q, n_d = max(1, -(-q.count() // query_block)), max(1, -(-code.count() // block))
     tile = lambda df, side, mine, other: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit({"a": n_q, "b": n_d}[mine])).cast("int")).withColumn(
         other, F.explode(F.sequence(F.lit(0), F.lit({"a": n_q, "b": n_d}[other] - 1)))
-    ).select(F.lit(0).alias("cell"), "a", (F.col("b") + n_q).alias("b"), F.lit(side).alias("side"), "id", "code", "scale", "err", F.array(F.lit(0)).alias("cells"))
+    ).select(F.lit(0).alias("cell"), "a", (F.col("b") + n_q).alias("b"), F.lit(side).alias("side"), "id", "code", "scale", "err")
     both = tile(q, False, "a", "b").unionByName(tile(code, True, "b", "a"))
     found = both.repartition("a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(_top_survivors(k), "src bigint, dst bigint").distinct()
     from pyspark.sql import Window
