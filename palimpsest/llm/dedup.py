@@ -5,17 +5,20 @@ Two messages match if both have MIN_WORDS distinct words, share JACCARD of all o
 hold the same runs of digits equally often.
 
 * Full copies (same word set and digits) are found by one 128-bit hash; a class of copies
-  stands or falls together, so only its first message goes on.
+  stands or falls together, so only its first message of a batch goes on.
 * Near copies share a signature: word sets are ordered rarest word first; two sets of
   similarity 0.8 share a word of their prefixes (n - ceil(0.8 n) + 1 words). A rare one is a
   signature by itself, common ones in pairs (see ``signatures``). A signature plays the part
-  of a paragraph hash for messages of one paragraph; coverage is then checked exactly.
-* History is tables of hashes, signatures and word sets of accepted messages, bucketed by
-  hash; a batch reads only the buckets' equal hashes (equi-joins) and appends its own.
-
-No signature's group is ever paired with itself as a whole: first the smallest open message
-of each signature decides for the others (linear work, so a group of copies of any size
-collapses onto its first), only what no leader decides is compared among itself.
+  of a paragraph hash for messages of one paragraph; coverage is then checked exactly. The
+  hash of the whole content is one more signature.
+* History (``DedupIndex``) is two bucketed tables of accepted messages: signatures, bucketed by
+  key, and word sets, bucketed by id. Only the batch is shuffled, into their buckets; bucket by
+  bucket its rows meet those of equal key, and what is accepted is appended.
+
+Batches are resolved inside by pairs of messages with a common signature. A signature of more
+than PAIRS messages of the batch is never paired as it stands: before, the smallest open message
+of each signature decides for the others (linear work, so a group of near copies of any size
+collapses onto its first).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,39 +35,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import words
-from palimpsest.runtime import store
+from palimpsest.runtime import delete, publish_text, read_text, shuffle_partitions, store
 
 MIN_WORDS = 8
 #: Words with at least 1/COMMON_WORDS of all word occurrences count as common, so there are at most COMMON_WORDS of them.
 COMMON_WORDS = 262_144
-LEADER_ROUNDS = 2
+LEADER_ROUNDS, PAIRS = 2, 64
+#: The common words are counted anew, and all signatures formed anew, when the history has REFIT times the rows counted last or MOST_PARTS parts.
+REFIT, MOST_PARTS = 16, 256
+#: A worker remembers the hashes of so many words.
+CACHE_WORDS = 1_000_000
 _DIGITS = re.compile(r"[0-9]+")
+PARSED = "id bigint, h binary, digits bigint, words array<int>"
+SIGNED = f"{PARSED}, keys array<bigint>, roles array<tinyint>"
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh32_intdigest(word) - (1 << 31)
+        return h
+
+
+def _signed(h: bytes, own: list[int], digits: int, common: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Keys and roles of one message: the hash of its content and its signatures."""
+    found = [(int.from_bytes(h[:8], "little", signed=True), 2), *signatures(own, digits, common)]
+    return [k for k, _ in found], [r for _, r in found]
+
+
+def _reader(bc):
+    """(id, class hash, digits hash, sorted word hashes) of the messages with enough words, with keys and roles if the common words are known."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, common = _Hashes(), bc.value if bc is not None else None
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not text:
+                    continue
+                ws = set(words(text))
+                if len(ws) < MIN_WORDS:
+                    continue
+                sig = " ".join(sorted(_DIGITS.findall(text)))
+                own = sorted([hashes[w] for w in ws])
+                digits, h = xxhash.xxh3_64_intdigest(sig) - (1 << 63), xxhash.xxh3_128_digest(sig + "\n" + " ".join(sorted(ws)))
+                rows.append((i, h, digits, own) if common is None else (i, h, digits, own, *_signed(h, own, digits, common)))
+            n = 4 if common is None else 6
+            cols = list(zip(*rows)) if rows else [[]] * n
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int8())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "h", "digits", "words", "keys", "roles"][:n])
+
+    return parse
+
+
+def _signer(bc):
+    """Adds keys and roles to parsed rows."""
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_signed(h, own, digits, bc.value) for h, digits, own in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int8()))], ["id", "h", "digits", "words", "keys", "roles"]
+            )
 
-def _hash(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) - (1 << 31)
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, class hash, digits hash, sorted word hashes) of the messages with enough words."""
-    for b in batches:
-        ids, hashes, digits, sets = [], [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if not text:
-                continue
-            ws = set(words(text))
-            if len(ws) < MIN_WORDS:
-                continue
-            sig = " ".join(sorted(_DIGITS.findall(text)))
-            own = sorted(map(_hash, ws))
-            ids.append(i)
-            digits.append(xxhash.xxh3_64_intdigest(sig) - (1 << 63))
-            hashes.append(xxhash.xxh3_128_digest(sig + "\n" + " ".join(sorted(ws))))
-            sets.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(digits, pa.int64()), pa.array(sets, pa.list_(pa.int32()))],
-            ["id", "h", "digits", "words"],
-        )
+    return sign
 
 
 def signatures(words: list[int], digits: int, common: dict[int, int]) -> list[tuple[int, int]]:
@@ -89,21 +125,6 @@ def signatures(words: list[int], digits: int, common: dict[int, int]) -> list[tu
     return out
 
 
-def _signer(bc):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = bc.value
-        for b in batches:
-            ids, keys, roles = [], [], []
-            for i, digits, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for key, role in signatures(ws, digits, common):
-                    ids.append(i)
-                    keys.append(key)
-                    roles.append(role)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(roles, pa.int8())], ["id", "key", "role"])
-
-    return sign
-
-
 def common_words(parsed: DataFrame) -> dict[int, int]:
     """Hashes of the common words with their number of messages: at most COMMON_WORDS entries, counted over all rows."""
     total = parsed.select(F.sum(F.size("words"))).first()[0] or 0
@@ -122,147 +143,215 @@ def _matching(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-class History:
-    """What is known of accepted messages: classes (h, id), signatures (key, id) and word sets (id, digits, words)."""
+_PAIRED = "(role = 2 and role_b = 2 or role <> role_b)"
 
-    def __init__(self, classes: DataFrame, keys: DataFrame, sets: DataFrame, common: dict[int, int]):
-        self.classes, self.keys, self.sets, self.common = classes, keys, sets, common
 
+def _pairs(live: DataFrame, other: DataFrame) -> DataFrame:
+    """(a, b) with a common key, b before a; ``live`` and ``other`` have (id, key, role)."""
+    b = other.select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
+    return live.join(b, "key").where(f"b < id and {_PAIRED}").select(F.col("id").alias("a"), "b")
 
-class Resolution:
-    """Outcome of one batch: ``cases`` (kept_id, duplicate_id) and the tables of what was accepted."""
 
-    def __init__(self, cases: DataFrame, classes: DataFrame, keys: DataFrame, sets: DataFrame, common: dict[int, int]):
-        self.cases, self.classes, self.keys, self.sets, self.common = cases, classes, keys, sets, common
+class Resolution:
+    """Outcome of one batch: ``cases`` (kept_id, duplicate_id), and the signed rows of what was accepted."""
 
+    def __init__(self, cases: DataFrame, accepted: DataFrame):
+        self.cases, self.accepted = cases, accepted
 
-def resolve(messages: DataFrame, history: History | None = None) -> Resolution:
-    """Decide every message of a batch; ``messages`` has (id, content), other columns are ignored.
 
-    All ids must be larger than those of the history. Rows with a repeated id count once; null,
-    empty and short contents match nothing and are neither cases nor hashed. Any batch may be empty.
-    """
-    spark = messages.sparkSession
-    parsed = store(messages.select(F.col("id").cast("bigint"), "content").where("content is not null").mapInArrow(_parse, "id bigint, h binary, digits bigint, words array<int>"))
-    # full copies: all but the first of each class follow the first
-    firsts = parsed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
-    copies = store(parsed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct())
-    if history is None:
-        old, common = None, common_words(parsed)
-    else:
-        old = store(parsed.select("id", "h").join(history.classes.withColumnRenamed("id", "kept"), "h").select("id", "kept").distinct())
-        common = history.common
-    signer = _signer(spark.sparkContext.broadcast(common))
-    keys = parsed.select("id", "digits", "words").mapInArrow(signer, "id bigint, key bigint, role tinyint")
-
-    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
-    joins = "(least = 2 and most = 2 and first < last) or (least < 2 and (first < last) and (least < most))"
-    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last")).where(joins).select("key")
-    if history is not None:
-        shared = shared.union(keys.join(history.keys, "key", "left_semi").select("key")).distinct()
-    near = keys.join(shared, "key").distinct().join(copies.select("id"), "id", "left_anti")
-    if old is not None:
-        near = near.join(old.select("id"), "id", "left_anti")
-    near = store(near)
-    sets = store(parsed.join(near.select("id").distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"]))
-
-    kept_parts = []
-    open_ = near.select("id").distinct()
-    if history is not None:
-        pairs = near.join(history.keys.select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
-        hits = store(_matching(pairs, sets, history.sets).groupBy("a").agg(F.min("b").alias("b")))
-        kept_parts.append(hits)
-        open_ = store(open_.join(hits.select(F.col("a").alias("id")), "id", "left_anti"))
-    accepted = None
+def _collapsed(near: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """(id): messages that match one that is the first of all its signatures, which is accepted therefore; linear in the signatures."""
+    open_, led = near.select("id").distinct(), None
     for _ in range(LEADER_ROUNDS):
         live = near.join(open_, "id", "left_semi")
         lead = live.groupBy("key").agg(F.min("id").alias("lead"))
-        led = live.join(lead, "key")
-        first_of_all = store(led.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id"))
-        # a leader's every signature has it as the only new accepted message: work is linear in the signatures
-        pairs = led.where("id <> lead").join(first_of_all.select(F.col("id").alias("lead")), "lead", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        hits = _matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct()
-        accepted = first_of_all if accepted is None else accepted.union(first_of_all)
-        open_ = store(open_.join(first_of_all, "id", "left_anti").join(hits, "id", "left_anti"))
-    live = near.join(open_, "id", "left_semi")
-    other = live.select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
-    pairs = live.join(other, "key").where("b < id and (role = 2 and role_b = 2 or role <> role_b)").select(F.col("id").alias("a"), "b")
-    links = store(_matching(pairs, sets, sets))
+        seen = store(live.join(lead, "key").select("id", "lead").distinct(), scratch)
+        first = store(seen.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id"), scratch)
+        pairs = seen.where("id <> lead").join(first.withColumnRenamed("id", "lead"), "lead", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+        hits = store(_matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct(), scratch)
+        led = hits if led is None else led.union(hits)
+        open_ = store(open_.join(first, "id", "left_anti").join(hits, "id", "left_anti"), scratch)
+    return led
+
+
+def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
+    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
+    firsts = signed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
+    copies = store(signed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct(), scratch)
+    keys = signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role")))).join(copies.select("id"), "id", "left_anti")
+    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
+    joins = "first < last and (least = 2 or least < most)"
+    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where(joins)
+    near = keys.join(shared.select("key", "n"), "key").select("id", "key", "role", "n", F.lit(None).cast("bigint").alias("b"))
+    sets = signed.select("id", "digits", "words").dropDuplicates(["id"])
+    hits = None
+    if history is None:
+        near = store(near.distinct(), scratch)
+    else:
+        past = history[0].select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
+        met = keys.join(past, "key").where(_PAIRED).select("id", "key", "role", F.lit(0).cast("bigint").alias("n"), "b")
+        near = store(near.unionByName(met).distinct(), scratch)
+        hits = store(_matching(near.where("b is not null").select(F.col("id").alias("a"), "b"), sets, history[1]).groupBy("a").agg(F.min("b").alias("b")), scratch)
+        near = near.where("b is null").join(hits.select(F.col("a").alias("id")), "id", "left_anti")
+    near = near.drop("b")
+    kept, led = hits, None
+    rest = near
+    if not near.where(F.col("n") > PAIRS).isEmpty():
+        led = store(_collapsed(near, sets, scratch), scratch)
+        rest = near.join(led, "id", "left_anti")
+    links = store(_matching(_pairs(rest, rest), sets, sets), scratch)
+    out, open_ = None, links
+    # whoever has no open link is accepted and turns those linked to it into cases; each round decides at least the smallest open message
     while not open_.isEmpty():
-        blocked = links.select(F.col("a").alias("id")).distinct()
-        free = store(open_.join(blocked, "id", "left_anti"))
-        out = links.join(free.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        accepted = accepted.union(free)
-        still = store(open_.join(free, "id", "left_anti").join(out, "id", "left_anti"))
-        links = store(links.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi"))
-        open_ = still
-    accepted = store(accepted)
-
-    # each case's smallest accepted match, over all its signatures
-    undone = near.join(accepted, "id", "left_anti")
-    if history is not None:
-        undone = undone.join(kept_parts[0].select(F.col("a").alias("id")), "id", "left_anti")
-    firm = near.join(accepted, "id", "left_semi").select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
-    pairs = undone.join(firm, "key").where("b < id and (role = 2 and role_b = 2 or role <> role_b)").select(F.col("id").alias("a"), "b")
-    kept = _matching(pairs, sets, sets).groupBy("a").agg(F.min("b").alias("b"))
-    for part in kept_parts:
-        kept = kept.unionByName(part)
-    kept = store(kept)
-
-    followers = copies.join(kept.select(F.col("a").alias("rep"), F.col("b").alias("kept")), "rep", "left").select(F.coalesce("kept", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
-    cases = kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id"))
-    if old is not None:  # copies of what the history has
-        followers = followers.join(old.select(F.col("id").alias("duplicate_id")), "duplicate_id", "left_anti").select("kept_id", "duplicate_id")
-        cases = cases.unionByName(old.select(F.col("kept").alias("kept_id"), F.col("id").alias("duplicate_id")))
-    cases = cases.unionByName(followers).distinct()
-    new = parsed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"])
-    return Resolution(
-        cases, new.select("h", "id"), new.select("id", "digits", "words").mapInArrow(signer, "id bigint, key bigint, role tinyint").select("key", "id"), new.select("id", "digits", "words"), common
-    )
+        free = open_.select(F.col("b").alias("id")).distinct().join(open_.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+        now = store(open_.join(free.withColumnRenamed("id", "b"), "b", "left_semi").select("a").distinct(), scratch)
+        out = now if out is None else out.union(now)
+        open_ = store(open_.join(now, "a", "left_anti").join(now.select(F.col("a").alias("b")), "b", "left_anti").join(free.withColumnRenamed("id", "b"), "b", "left_anti"), scratch)
+    if out is not None:
+        own = links.join(out, "a", "left_semi").join(out.select(F.col("a").alias("b")), "b", "left_anti")
+        kept = own if kept is None else kept.unionByName(own)
+    if led is not None:  # their smallest accepted match, over all their signatures
+        gone = led if out is None else led.union(out.select(F.col("a").alias("id")))
+        own = _matching(_pairs(near.join(led, "id", "left_semi"), near.join(gone, "id", "left_anti")), sets, sets)
+        kept = own if kept is None else kept.unionByName(own)
+    followers = copies.select(F.col("rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
+    if kept is not None:
+        kept = store(kept.groupBy("a").agg(F.min("b").alias("b")), scratch)
+        followers = copies.join(kept.withColumnRenamed("a", "rep"), "rep", "left").select(F.coalesce("b", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
+        followers = followers.unionByName(kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id")))
+    cases = store(followers.distinct())
+    return Resolution(cases, signed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"]))
+
+
+def _read(messages: DataFrame, common: dict[int, int] | None, scratch: list[str]) -> tuple[DataFrame, dict[int, int]]:
+    """The signed rows of a batch, stored, and the common words, counted in the batch itself if not given."""
+    spark = messages.sparkSession
+    rows = messages.select(F.col("id").cast("bigint"), "content").where("id is not null and content is not null")
+    if common is None:
+        parsed = store(rows.mapInArrow(_reader(None), PARSED), scratch)
+        common = common_words(parsed)
+        signed = parsed.mapInArrow(_signer(spark.sparkContext.broadcast(common)), SIGNED)
+    else:
+        signed = rows.mapInArrow(_reader(spark.sparkContext.broadcast(common)), SIGNED)
+    return store(signed, scratch), common
+
 
+def resolve(messages: DataFrame) -> Resolution:
+    """Decide all messages as one batch without a history; ``messages`` has (id, content), other columns are ignored.
 
-TABLES = {"classes": "h binary, id bigint", "keys": "key bigint, id bigint", "sets": "id bigint, digits bigint, words array<int>"}
+    Rows with a repeated id count once; null ids and null, empty and short contents match nothing and
+    are neither cases nor hashed. The table may be empty.
+    """
+    return _resolve(_read(messages, None, [])[0], None, [])
 
 
 class DedupIndex:
-    """The accepted hashes on disk, bucketed by hash; each batch appends one part of every table.
+    """Signatures and word sets of the accepted messages in two bucketed tables under ``path``; each batch appends a part to both.
 
-    A batch becomes visible by the rename of ``CURRENT`` only, so a batch that fails half way
-    leaves the index as it was. One writer at a time.
+    ``CURRENT`` names the parts that are live and is replaced by one rename, so a batch that fails
+    half way leaves the index as it was. One writer at a time. The number of buckets is fixed when
+    the index is made: choose it so that one bucket of the history fits a task.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.removeprefix("file://"), buckets
-        os.makedirs(self.path, exist_ok=True)
-
-    def _state(self) -> dict:
-        at = os.path.join(self.path, "CURRENT")
-        if not os.path.exists(at):
-            return {"batches": 0, "common": None}
-        with open(at) as f:
-            return json.load(f)
-
-    def history(self) -> History | None:
-        state = self._state()
-        if not state["batches"]:
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        text = read_text(spark, os.path.join(path, "CURRENT"))
+        self.state = json.loads(text) if text else {"generation": 0, "buckets": buckets or shuffle_partitions(spark), "parts": [], "rows": 0, "counted": 0}
+        self._common: tuple[int, dict[int, int]] | None = None
+
+    def _table(self, name: str) -> str:
+        """The name in the session's catalogue, under which Spark knows the buckets."""
+        generation = self.state["generation"]
+        full = f"palimpsest_{name}_{xxhash.xxh3_64_hexdigest(self.path)}_{generation}"
+        columns, by = {"keys": ("key bigint, id bigint, role tinyint, part string", "key"), "sets": ("id bigint, h binary, digits bigint, words array<int>, part string", "id")}[name]
+        at = os.path.join(self.path, f"{name}-{generation}")
+        self.spark.sql(f"create table if not exists {full} ({columns}) using parquet clustered by ({by}) into {self.state['buckets']} buckets location '{at}'")
+        return full
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.table(self._table(name)).where(F.col("part").isin(self.state["parts"])).drop("part")
+
+    def common(self) -> dict[int, int] | None:
+        generation = self.state["generation"]
+        if not self.state["parts"]:
             return None
+        if self._common is None or self._common[0] != generation:
+            pairs = json.loads(read_text(self.spark, os.path.join(self.path, f"common-{generation}")))
+            self._common = generation, dict(pairs)
+        return self._common[1]
 
-        def read(name: str) -> DataFrame:
-            rows = self.spark.read.schema(f"{TABLES[name]}, batch int, bucket int").parquet(os.path.join(self.path, name))
-            return rows.where(F.col("batch") < state["batches"]).drop("batch", "bucket")
+    def _append(self, signed: DataFrame, part: str) -> None:
+        keys = signed.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role"))), "id").select("key", "id", "role")
+        for name, rows, by in (("keys", keys, "key"), ("sets", signed.select("id", "h", "digits", "words"), "id")):
+            rows.withColumn("part", F.lit(part)).repartition(self.state["buckets"], by).write.insertInto(self._table(name))
 
-        return History(read("classes"), read("keys"), read("sets"), {int(k): v for k, v in state["common"].items()})
+    def _publish(self, common: dict[int, int] | None = None) -> None:
+        if common is not None:
+            publish_text(self.spark, os.path.join(self.path, f"common-{self.state['generation']}"), json.dumps(list(common.items())))
+        publish_text(self.spark, os.path.join(self.path, "CURRENT"), json.dumps(self.state))
 
     def add(self, messages: DataFrame) -> DataFrame:
-        """Resolve one batch against all before it, append what is accepted, give the cases."""
-        state, done = self._state(), resolve(messages, self.history())
-        tables = {"classes": (done.classes, F.xxhash64("h")), "keys": (done.keys, F.col("key")), "sets": (done.sets, F.col("id"))}
-        for name, (df, by) in tables.items():
-            df.withColumn("bucket", F.pmod(by, F.lit(self.buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-                os.path.join(self.path, name, f"batch={state['batches']}")
-            )
-        temp = os.path.join(self.path, ".CURRENT")
-        with open(temp, "w") as f:
-            json.dump({"batches": state["batches"] + 1, "common": done.common}, f)
-        os.replace(temp, os.path.join(self.path, "CURRENT"))
+        """Resolve one batch against all before it, append what is accepted, give the cases (kept_id, duplicate_id).
+
+        ``messages`` as in ``resolve``; all ids must be larger than those of the history. Any batch may be empty.
+        """
+        scratch: list[str] = []
+        signed, common = _read(messages, self.common(), scratch)
+        n = signed.count()
+        done = _resolve(signed, (self._rows("keys"), self._rows("sets")) if self.state["parts"] else None, scratch)
+        if n:
+            first, part = not self.state["parts"], uuid.uuid4().hex
+            self._append(done.accepted, part)
+            self.state = self.state | {"parts": [*self.state["parts"], part], "rows": self.state["rows"] + n, "counted": n if first else self.state["counted"]}
+            self._publish(common if first else None)
+            if self.state["rows"] >= REFIT * self.state["counted"] or len(self.state["parts"]) >= MOST_PARTS:
+                self.recount()
+        for at in scratch:
+            delete(self.spark, at)
         return done.cases
+
+    def recount(self) -> None:
+        """Count the common words of the whole history, sign it anew with them and fold its parts into one. By REFIT, its cost is a share of all appends'."""
+        sets = self._rows("sets")
+        common, old = common_words(sets), self.state
+        signed = sets.select("id", "h", "digits", "words").mapInArrow(_signer(self.spark.sparkContext.broadcast(common)), SIGNED)
+        part, now = uuid.uuid4().hex, old | {"generation": old["generation"] + 1, "counted": old["rows"]}
+        self.state = now
+        self._append(signed, part)
+        self.state = now | {"parts": [part]}
+        self._publish(common)
+        new, self.state = self.state, old
+        self._forget()
+        self.state = new
+
+    def _forget(self) -> None:
+        for name in ("keys", "sets"):
+            self.spark.sql(f"drop table if exists {self._table(name)}")
+            delete(self.spark, os.path.join(self.path, f"{name}-{self.state['generation']}"))
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self._forget()
+        delete(self.spark, self.path)
+
+
+def in_batches(messages: DataFrame, path: str, batch: str = "batch_no", buckets: int | None = None) -> DataFrame:
+    """The cases of all batches, which enter a new index one after the other, in order of id; the index is deleted in the end.
+
+    A batch is all rows from its smallest id up to the next batch's, so rows without a batch number belong to the one around them.
+    """
+    starts = messages.where(f"{batch} is not null and id is not null").groupBy(batch).agg(F.min("id").alias("at")).select("at").distinct().orderBy("at")
+    bounds = [r[0] for r in starts.collect()]  # one row for each batch
+    index, every = DedupIndex(messages.sparkSession, path, buckets), None
+    for low, high in zip([None, *bounds[1:]], [*bounds[1:], None]):
+        own = messages
+        if low is not None:
+            own = own.where(F.col("id") >= low)
+        if high is not None:
+            own = own.where(F.col("id") < high)
+        cases = index.add(own)
+        every = cases if every is None else every.unionByName(cases)
+    if every is None:
+        every = index.add(messages)
+    index.drop()
+    return every

@@ -91,30 +91,31 @@ def p10_documents(spark, folder):
     return document_languages(language_parts(table(spark, folder, "documents")))
 
 
+def _index_folder(spark) -> str:
+    import os
+    import uuid
+
+    from palimpsest.runtime import checkpoint_dir
+
+    return os.path.join(checkpoint_dir(spark), f"dedup-{uuid.uuid4().hex}")
+
+
 @registry.add("p1_found")
 def p1_found(spark, folder):
-    from palimpsest.llm.dedup import resolve
+    """All batches of arrival, each against the index of everything accepted before it."""
+    from palimpsest.llm.dedup import in_batches
 
-    return resolve(table(spark, folder, "messages")).cases
+    return in_batches(table(spark, folder, "messages"), _index_folder(spark))
 
 
 @registry.add("p1_incremental")
 def p1_incremental(spark, folder):
-    """The same cases, from three arrivals against an index that grows with each."""
-    import os
-    import uuid
-
-    from palimpsest.llm.dedup import DedupIndex
-    from palimpsest.runtime import checkpoint_dir, cut
+    """The same cases from other arrivals: the history as one load, then the last batch."""
+    from palimpsest.llm.dedup import in_batches
 
-    index = DedupIndex(spark, os.path.join(checkpoint_dir(spark), f"dedup-{uuid.uuid4().hex}"))
     rows = table(spark, folder, "messages")
-    every = None
-    for low, high in ((0, 4), (4, 8), (8, 1 << 30)):
-        batch = rows.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
-        cases = cut(index.add(batch))
-        every = cases if every is None else every.unionByName(cases)
-    return every
+    last = rows.agg(F.max("batch_no")).first()[0]
+    return in_batches(rows.withColumn("late", (F.col("batch_no") == F.lit(last)).cast("int")), _index_folder(spark), "late")
 
 
 @registry.add("p7_found")
