@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import tempfile
@@ -36,14 +37,72 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage like ``cut``, but columnar and compressed."""
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Delete the intermediate tables of this process. Results that still read them must be written before."""
+    while _made:
+        spark, at = _made.pop()
+        try:
+            delete(spark, at)
+        except Exception:  # noqa: BLE001  the session has ended already
+            pass
+
+
+def store(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage like ``cut``, but columnar and compressed.
+
+    The table is deleted when the process ends, or earlier by whoever gave the list ``scratch``, to which its folder is added.
+    """
     spark = df.sparkSession
     at = os.path.join(checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(at)
+    _made.append((spark, at))
+    if scratch is not None:
+        scratch.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, its file system) of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file in the shared store; None if there is none."""
+    p, fs = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file by one rename, so that readers see the old text or the new one."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    temp, fs = _hadoop(spark, f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(temp, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(temp, jvm.org.apache.hadoop.fs.Path(path), how)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
