@@ -4,13 +4,12 @@ A message is a case if it matches an accepted one; it is accepted otherwise, in
 Two messages match if both have MIN_WORDS distinct words, share JACCARD of all of them, and
 hold the same runs of digits equally often.
 
-* Full copies (same word set and digits) are found by one 128-bit hash; a class of copies
-  stands or falls together, so only its first message of a batch goes on.
+* Full copies (same word set and digits) share the hash of their normalised content.
 * Near copies share a signature: word sets are ordered rarest word first; two sets of
   similarity 0.8 share a word of their prefixes (n - ceil(0.8 n) + 1 words). A rare one is a
   signature by itself, common ones in pairs (see ``signatures``). A signature plays the part
   of a paragraph hash for messages of one paragraph; coverage is then checked exactly. The
-  hash of the whole content is one more signature.
+  hash of the content is one more signature.
 * History (``DedupIndex``) is two bucketed tables of accepted messages: signatures, bucketed by
   key, and word sets, bucketed by id. Only the batch is shuffled, into their buckets; bucket by
   bucket its rows meet those of equal key, and what is accepted is appended.
@@ -35,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import words
-from palimpsest.runtime import delete, publish_text, read_text, shuffle_partitions, store
+from palimpsest.runtime import delete, folder_bytes, publish_text, read_text, shuffle_partitions, store
 
 MIN_WORDS = 8
 #: Words with at least 1/COMMON_WORDS of all word occurrences count as common, so there are at most COMMON_WORDS of them.
 COMMON_WORDS = 262_144
 LEADER_ROUNDS, PAIRS = 2, 64
-#: The common words are counted anew, and all signatures formed anew, when the history has REFIT times the rows counted last or MOST_PARTS parts.
+#: The common words are counted anew, and all signatures formed anew, when the history is REFIT times as large as when counted last or has MOST_PARTS parts.
 REFIT, MOST_PARTS = 16, 256
 #: A worker remembers the hashes of so many words.
 CACHE_WORDS = 1_000_000
@@ -137,7 +136,7 @@ def _matching(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("digits").alias("da"))
     b = right.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("digits").alias("db"))
     return (
-        pairs.distinct().join(a, "a").join(b, "b")
+        pairs.repartition("a").dropDuplicates(["a", "b"]).join(a, "a").join(b, "b")
         .where((F.col("da") == F.col("db")) & (9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))))
         .select("a", "b")
     )
@@ -159,6 +158,10 @@ class Resolution:
         self.cases, self.accepted = cases, accepted
 
 
+def _keys(signed: DataFrame) -> DataFrame:
+    return signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role"))))
+
+
 def _collapsed(near: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
     """(id): messages that match one that is the first of all its signatures, which is accepted therefore; linear in the signatures."""
     open_, led = near.select("id").distinct(), None
@@ -171,55 +174,57 @@ def _collapsed(near: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFram
         hits = store(_matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct(), scratch)
         led = hits if led is None else led.union(hits)
         open_ = store(open_.join(first, "id", "left_anti").join(hits, "id", "left_anti"), scratch)
-    return led
+    return store(led, scratch)
 
 
-def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
-    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
-    firsts = signed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
-    copies = store(signed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct(), scratch)
-    keys = signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role")))).join(copies.select("id"), "id", "left_anti")
-    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
-    joins = "first < last and (least = 2 or least < most)"
-    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where(joins)
-    near = keys.join(shared.select("key", "n"), "key").select("id", "key", "role", "n", F.lit(None).cast("bigint").alias("b"))
-    sets = signed.select("id", "digits", "words").dropDuplicates(["id"])
-    hits = None
-    if history is None:
-        near = store(near.distinct(), scratch)
-    else:
-        past = history[0].select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
-        met = keys.join(past, "key").where(_PAIRED).select("id", "key", "role", F.lit(0).cast("bigint").alias("n"), "b")
-        near = store(near.unionByName(met).distinct(), scratch)
-        hits = store(_matching(near.where("b is not null").select(F.col("id").alias("a"), "b"), sets, history[1]).groupBy("a").agg(F.min("b").alias("b")), scratch)
-        near = near.where("b is null").join(hits.select(F.col("a").alias("id")), "id", "left_anti")
-    near = near.drop("b")
-    kept, led = hits, None
-    rest = near
-    if not near.where(F.col("n") > PAIRS).isEmpty():
-        led = store(_collapsed(near, sets, scratch), scratch)
-        rest = near.join(led, "id", "left_anti")
-    links = store(_matching(_pairs(rest, rest), sets, sets), scratch)
+def _settled(links: DataFrame, scratch: list[str]) -> DataFrame | None:
+    """(a): the messages of ``links`` (a, b, firm) that match an accepted one; ``firm`` says that b is of the history.
+
+    Whoever has no open link is accepted and turns those linked to it into cases, so each round decides
+    at least the smallest open message.
+    """
     out, open_ = None, links
-    # whoever has no open link is accepted and turns those linked to it into cases; each round decides at least the smallest open message
-    while not open_.isEmpty():
-        free = open_.select(F.col("b").alias("id")).distinct().join(open_.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-        now = store(open_.join(free.withColumnRenamed("id", "b"), "b", "left_semi").select("a").distinct(), scratch)
+    while True:
+        later = open_.select(F.col("a").alias("b"), F.lit(True).alias("waits")).distinct()
+        told = open_.join(later, "b", "left").select("a", "b", (F.col("firm") | F.col("waits").isNull()).alias("free"))
+        told = told.join(told.groupBy("a").agg(F.max("free").alias("out")), "a")
+        told = store(told, scratch)
+        now = told.where("out").select("a").distinct()
         out = now if out is None else out.union(now)
-        open_ = store(open_.join(now, "a", "left_anti").join(now.select(F.col("a").alias("b")), "b", "left_anti").join(free.withColumnRenamed("id", "b"), "b", "left_anti"), scratch)
-    if out is not None:
-        own = links.join(out, "a", "left_semi").join(out.select(F.col("a").alias("b")), "b", "left_anti")
-        kept = own if kept is None else kept.unionByName(own)
+        rest = told.where("not out and not free")
+        if rest.isEmpty():
+            return out
+        open_ = rest.join(now.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", F.lit(False).alias("firm"))
+
+
+def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
+    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
+    sets, every = signed.select("id", "digits", "words").dropDuplicates(["id"]), _keys(signed)
+    counts = every.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
+    led = hits = None
+    if not counts.where(F.col("n") > PAIRS).isEmpty():
+        near = store(every.join(counts.select("key"), "key").distinct(), scratch)
+        if history is not None:
+            met = _matching(_pairs(every, history[0]), sets, history[1])
+            hits = store(met.groupBy("a").agg(F.min("b").alias("b")), scratch)
+            every = every.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
+            near = near.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
+        led = _collapsed(near, sets, scratch)
+        every = every.join(led, "id", "left_anti")
+    shared = every.repartition("key").join(counts.select("key"), "key")
+    links = _matching(_pairs(shared, shared), sets, sets).withColumn("firm", F.lit(False))
+    if history is not None and hits is None:
+        links = links.unionByName(_matching(_pairs(every.repartition("key"), history[0]), sets, history[1]).withColumn("firm", F.lit(True)))
+    links = store(links, scratch)
+    out = _settled(links, scratch)
+    gone = out.select(F.col("a").alias("b"))
+    kept = links.join(out, "a", "left_semi").join(gone.withColumn("gone", F.lit(True)), "b", "left").where("firm or gone is null").select("a", "b")
+    if hits is not None:
+        kept = kept.unionByName(hits)
     if led is not None:  # their smallest accepted match, over all their signatures
-        gone = led if out is None else led.union(out.select(F.col("a").alias("id")))
-        own = _matching(_pairs(near.join(led, "id", "left_semi"), near.join(gone, "id", "left_anti")), sets, sets)
-        kept = own if kept is None else kept.unionByName(own)
-    followers = copies.select(F.col("rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
-    if kept is not None:
-        kept = store(kept.groupBy("a").agg(F.min("b").alias("b")), scratch)
-        followers = copies.join(kept.withColumnRenamed("a", "rep"), "rep", "left").select(F.coalesce("b", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
-        followers = followers.unionByName(kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id")))
-    cases = store(followers.distinct())
+        gone = gone.union(led)
+        kept = kept.unionByName(_matching(_pairs(near.join(led, "id", "left_semi"), near.join(gone.select(F.col("b").alias("id")), "id", "left_anti")), sets, sets))
+    cases = store(kept.groupBy(F.col("a").alias("duplicate_id")).agg(F.min("b").alias("kept_id")).select("kept_id", "duplicate_id"))
     return Resolution(cases, signed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"]))
 
 
@@ -256,7 +261,7 @@ class DedupIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
         text = read_text(spark, os.path.join(path, "CURRENT"))
-        self.state = json.loads(text) if text else {"generation": 0, "buckets": buckets or shuffle_partitions(spark), "parts": [], "rows": 0, "counted": 0}
+        self.state = json.loads(text) if text else {"generation": 0, "buckets": buckets or shuffle_partitions(spark), "parts": [], "counted": 0}
         self._common: tuple[int, dict[int, int]] | None = None
 
     def _table(self, name: str) -> str:
@@ -281,8 +286,7 @@ class DedupIndex:
         return self._common[1]
 
     def _append(self, signed: DataFrame, part: str) -> None:
-        keys = signed.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role"))), "id").select("key", "id", "role")
-        for name, rows, by in (("keys", keys, "key"), ("sets", signed.select("id", "h", "digits", "words"), "id")):
+        for name, rows, by in (("keys", _keys(signed).select("key", "id", "role"), "key"), ("sets", signed.select("id", "h", "digits", "words"), "id")):
             rows.withColumn("part", F.lit(part)).repartition(self.state["buckets"], by).write.insertInto(self._table(name))
 
     def _publish(self, common: dict[int, int] | None = None) -> None:
@@ -297,15 +301,14 @@ class DedupIndex:
         """
         scratch: list[str] = []
         signed, common = _read(messages, self.common(), scratch)
-        n = signed.count()
         done = _resolve(signed, (self._rows("keys"), self._rows("sets")) if self.state["parts"] else None, scratch)
-        if n:
-            first, part = not self.state["parts"], uuid.uuid4().hex
-            self._append(done.accepted, part)
-            self.state = self.state | {"parts": [*self.state["parts"], part], "rows": self.state["rows"] + n, "counted": n if first else self.state["counted"]}
-            self._publish(common if first else None)
-            if self.state["rows"] >= REFIT * self.state["counted"] or len(self.state["parts"]) >= MOST_PARTS:
-                self.recount()
+        first, part = not self.state["parts"], uuid.uuid4().hex
+        self._append(done.accepted, part)
+        size = folder_bytes(self.spark, os.path.join(self.path, f"sets-{self.state['generation']}"))
+        self.state = self.state | {"parts": [*self.state["parts"], part], "counted": size if first else self.state["counted"]}
+        self._publish(common if first else None)
+        if size > REFIT * self.state["counted"] or len(self.state["parts"]) >= MOST_PARTS:
+            self.recount()
         for at in scratch:
             delete(self.spark, at)
         return done.cases
@@ -315,10 +318,10 @@ class DedupIndex:
         sets = self._rows("sets")
         common, old = common_words(sets), self.state
         signed = sets.select("id", "h", "digits", "words").mapInArrow(_signer(self.spark.sparkContext.broadcast(common)), SIGNED)
-        part, now = uuid.uuid4().hex, old | {"generation": old["generation"] + 1, "counted": old["rows"]}
-        self.state = now
+        part = uuid.uuid4().hex
+        self.state = old | {"generation": old["generation"] + 1}
         self._append(signed, part)
-        self.state = now | {"parts": [part]}
+        self.state |= {"parts": [part], "counted": max(1, folder_bytes(self.spark, os.path.join(self.path, f"sets-{self.state['generation']}")))}
         self._publish(common)
         new, self.state = self.state, old
         self._forget()
