@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 MAX_SEGMENT, TRAINING_TEXTS, TRAINING_ROUNDS, CUE_WORDS = 120, 1_500, 60, 3
 #: Made-up texts more, with names and capitalised words that are in no lexicon.
 NEW_TEXTS = 600
+#: A worker remembers whether so many words are family names.
+CACHE_WORDS = 500_000
 
 _W = r"[^\W\d_]"
 _NAMEWORD = rf"{_W}+(?:[-'’]{_W}+)*"
@@ -39,15 +42,15 @@ _STREET = (
     "street|st|road|rd|avenue|ave|lane|ln|court|ct|drive|dr|boulevard|blvd|way|place|pl|terrace|close|crescent|square|sq|row|gardens|parkway|pkwy|circle|trail|hill|grove|mews|walk|highway|hwy|loop|alley"
 )
 _UNIT = rf"(?:,?\s+(?:(?:apt|apartment|flat|unit|suite|ste|room|rm|floor|fl|apto|piso|appt|appartement|whg|bus)\b\.?\s*#?\s*(?:\d{{1,5}}{_W}?|{_W})\b|\#\s?\d{{1,5}}{_W}?\b))?"
-_PARTICLES = r"(?:(?:de\s+la|de\s+los|de\s+las|de\s+l['’]|de|du|des|del|della|do|da|dos|das|d['’]|van\s+der|van\s+de|van|der|den)\s*)?"
+_PARTICLES = r"(?:(?:de\s+la|de\s+los|de\s+las|de|du|des|del|della|do|da|dos|das|van\s+der|van\s+de|van|der|den)\s+|(?:de\s+l|d|l)['’]\s*)?"
 
 _AT = r"(?:\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*|\s+at\s+)"
 _AT_SURE = r"(?:\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*|\s+@\s+|\s+@|@\s+)"
 _DOT = r"(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|<\s*dot\s*>)\s*|\s+dot\s+)"
 EMAIL = re.compile(
-    r"[\w.+%'-]*\w@(?:[\w-]+\.)+[^\W\d_][\w-]*"
-    rf"|[\w.+%-]*\w(?:{_AT}|{_AT_SURE}|@)[\w-]+(?:\.[\w-]+)*(?:{_DOT}[\w-]+(?:\.[\w-]+)*)+"
-    rf"|[\w.+%-]*\w{_AT_SURE}[\w-]+(?:\.[\w-]+)+", re.I,
+    r"(?<![\w.+%'-])[\w.+%'-]*\w@(?:[\w-]+\.)+[^\W\d_][\w-]*"
+    rf"|(?<![\w.+%-])[\w.+%-]*\w(?:{_AT}|{_AT_SURE}|@)[\w-]+(?:\.[\w-]+)*(?:{_DOT}[\w-]+(?:\.[\w-]+)*)+"
+    rf"|(?<![\w.+%-])[\w.+%-]*\w{_AT_SURE}[\w-]+(?:\.[\w-]+)+", re.I,
 )
 PHONE = re.compile(r"(?<![\w/#.@-])(?:\+\s?\d|\(\+?\d|\d)[\d() ./ ‐-―-]{5,24}\d(?![\w/]|[.-]\d)")
 ID = re.compile(
@@ -55,17 +58,21 @@ ID = re.compile(
     rf"|\d{{2,3}}/\d{{3}}/\d{{4,5}}|\d{{2,3}}(?: \d{{3}}){{3}}|\d{{9,12}}|\d{{3}}\.\d{{3}}\.\d{{3}}-\d\d|[12] ?\d\d ?\d\d ?\d\d ?\d{{3}} ?\d{{3}}(?: ?\d\d)?"
     rf"|{_W}{{5,6}}\d{{6}}{_W}{{2}}\d{{0,2}}|(?=[\w-]*\d[\w-]*\d[\w-]*\d[\w-]*\d)[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)(?![\w/]|-\w)"
 )
-ADDRESS = re.compile(
-    rf"(?<![\w/.-])\d{{1,5}}(?:{_W}|\s?(?:bis|ter))?,?\s+(?:(?:old|new|north|south|east|west|upper|lower|great|little|[nsew])\.?\s+)*{_NAMEWORD}(?:\s+{_NAMEWORD}){{0,2}}?\s+(?:{_STREET})\b\.?(?:\s+(?:north|south|east|west|[nsew])\b\.?)?{_UNIT}"
-    rf"|(?<![\w/.-])\d{{1,5}}(?:{_W}|\s?(?:bis|ter))?,?\s+(?:rue|avenue|allée|allee|boulevard|place|chemin|impasse|quai|cours|route|passage|square)\s+{_PARTICLES}{_NAMEWORD}(?:-{_NAMEWORD})*{_UNIT}"
-    rf"|(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera|c/|rua|travessa|praça|praca|largo|via|viale|piazza)\s*{_PARTICLES}{_NAMEWORD}(?:\s+{_NAMEWORD})?,?\s+(?:n\.?\s?[º°o]\.?\s*)?\d{{1,5}}{_W}?\b{_UNIT}"
-    rf"|(?<!\w){_NAMEWORD}(?:straße|strasse|straat|str\.|gasse|weg|platz|allee|ring|damm|ufer|laan|gracht|plein|kade|singel)\s+\d{{1,5}}{_W}?\b{_UNIT}"
-    rf"|(?<!\w){_NAMEWORD}\s+(?:straße|strasse|straat|str\.|gasse|weg|platz|allee|ring|damm|ufer|laan|gracht|plein|kade|singel)\s+\d{{1,5}}{_W}?\b{_UNIT}"
-    rf"|(?<!\w)(?:p\.?\s?o\.?\s?box|post\s?office\s+box|postal\s+box|postfach|postbus|apartado(?:\s+de\s+correos)?|boîte\s+postale|b\.?p\.?|caixa\s+postal)\s+(?:no\.?\s*)?\d{{1,6}}\b", re.I,
-)
-#: One of these words, or of these strings, is in every address.
-_STREET_WORDS = {*_STREET.split("|"), *"rue allée allee chemin impasse quai cours route passage calle avenida avda av plaza paseo camino carrera c rua travessa praça praca largo via viale piazza box postfach postbus apartado boîte postale bp b postal".split()}
-_STREET_PARTS = ("stra", "str.", "gasse", "weg", "platz", "ring", "damm", "ufer", "laan", "gracht", "plein", "kade", "singel", "allee")
+_NUMBER_FIRST = rf"(?<![\w/.-])\d{{1,5}}(?:{_W}|\s?(?:bis|ter))?,?\s+"
+_ROMANCE = "calle|avenida|avda|plaza|paseo|camino|carrera|rua|travessa|praça|praca|largo|via|viale|piazza"
+_FRENCH = "rue|avenue|allée|allee|boulevard|place|chemin|impasse|quai|cours|route|passage|square"
+_GERMANIC = "straße|strasse|straat|str.|gasse|weg|platz|allee|ring|damm|ufer|laan|gracht|plein|kade|singel"
+_BOX = "box|postfach|postbus|apartado|boîte|bp|b|caixa"
+#: Patterns of addresses; each is tried on texts with one of its words (as a whole word, or None) or strings (anywhere).
+ADDRESSES = [
+    (set(_STREET.split("|")), (), re.compile(
+        rf"{_NUMBER_FIRST}(?:(?:old|new|north|south|east|west|upper|lower|great|little|[nsew])\.?\s+)*{_NAMEWORD}(?:\s+{_NAMEWORD}){{0,2}}?\s+(?:{_STREET})\b\.?(?:\s+(?:north|south|east|west|[nsew])\b\.?)?{_UNIT}", re.I)),
+    (set(_FRENCH.split("|")), (), re.compile(rf"{_NUMBER_FIRST}(?:{_FRENCH})\s+{_PARTICLES}{_NAMEWORD}(?:-{_NAMEWORD})*{_UNIT}", re.I)),
+    ({*_ROMANCE.split("|"), "c"}, (), re.compile(rf"(?<!\w)(?:{_ROMANCE}|avda\.|c/)\s*{_PARTICLES}{_NAMEWORD}(?:\s+{_NAMEWORD})?,?\s+(?:n\.?\s?[º°o]\.?\s*)?\d{{1,5}}{_W}?\b{_UNIT}", re.I)),
+    (set(), tuple(_GERMANIC.split("|")), re.compile(rf"(?<!\w){_NAMEWORD}(?:\s+)?(?:{_GERMANIC.replace('.', chr(92) + '.')})\s+\d{{1,5}}{_W}?\b{_UNIT}", re.I)),
+    (set(_BOX.split("|")), (), re.compile(
+        r"(?<!\w)(?:p\.?\s?o\.?\s?box|post\s?office\s+box|postal\s+box|postfach|postbus|apartado(?:\s+de\s+correos)?|boîte\s+postale|b\.?p\.?|caixa\s+postal)\s+(?:no\.?\s*)?\d{1,6}\b", re.I)),
+]
 _DIGIT = re.compile(r"\d")
 #: Five digits with little between them, which every phone and identity number has.
 _DIGITS = re.compile(r"\d[^\d]{0,4}\d[^\d]{0,4}\d[^\d]{0,4}\d[^\d]{0,4}\d")
@@ -75,7 +82,7 @@ CUES = {
     "phone": "call me on text cell mobile phone tel telephone fax number reach whatsapp ring dial contact hotline".split(),
     "id_number": "ssn social security passport licence license dni nie nif tax id ni national insurance sozialversicherungsnummer steuer steuernummer nino tin cpf bsn identity card no number nr soc sec".split(),
     "address": "lives live at to moved address ship send street home visit near is".split(),
-    "name": "ask mr mrs ms miss dr prof dentist doctor contact met with from by friend colleague boss neighbour named signed regards cc meet sister brother called lawyer landlord".split(),
+    "name": "ask mr mrs ms miss dr prof dentist doctor contact met with from by friend colleague boss neighbour named signed regards cc meet sister brother called lawyer landlord talked spoke".split(),
     "email": "mail mailto email write to cc contact send".split(),
     "reference": "parcel order invoice case build port ticket folder gate flight version v room row rows birds issue pr commit line step page chapter ratio from plan costs".split(),
 }
@@ -83,7 +90,7 @@ _CUE_OF = defaultdict(set)
 for _kind, _ws in CUES.items():
     for _w in _ws:
         _CUE_OF[_w].add(_kind)
-_AFTER = {"called", "said", "says", "at", "they", "moved", "wrote", "asked", "is", "was", "will", "told", "thinks", "lives", "and", "or", "signed", "agreed"}
+_AFTER = {"called", "said", "says", "at", "they", "moved", "wrote", "asked", "is", "was", "will", "told", "thinks", "lives", "and", "or", "signed", "agreed", "takes", "took"}
 
 
 class Lexicon:
@@ -100,9 +107,16 @@ class Lexicon:
                 tails[f[i:]].add(f[:i])
         self.heads = {h for h, t in heads.items() if len(t) >= 3}
         self.tails = {t for t, h in tails.items() if len(h) >= 3}
+        self.seen: dict[str, bool] = {}
 
     def known(self, w: str) -> bool:
-        return w in self.family or self.like(w)
+        """Whether a word is a family name or put together like one; the last CACHE_WORDS words are remembered."""
+        out = self.seen.get(w)
+        if out is None:
+            if len(self.seen) >= CACHE_WORDS:
+                self.seen.clear()
+            out = self.seen[w] = w in self.family or self.like(w)
+        return out
 
     def like(self, w: str) -> bool:
         return any(w[:i] in self.heads and w[i:] in self.tails for i in range(3, len(w) - 2))
@@ -181,6 +195,7 @@ def _shape(w: str) -> str:
 
 
 _TITLES = set("ask mr mrs ms miss dr prof dentist doctor friend colleague boss neighbour sister brother lawyer landlord named called met signed regards".split())
+_PLACES = {"project", "lake", "gate", "port", "room", "version"}
 _THINGS = {"hall", "desk", "street", "road", "lane", "avenue", "group", "plan", "house", "test", "example", "invalid"}
 
 
@@ -202,7 +217,7 @@ def _new_names(text: str, tokens: list[tuple[int, int, str]], known: set[str], l
             f.append(f"new:{kind}:cue")
         if nxt and nxt[0].lower() in _AFTER:
             f.append(f"new:{kind}:after")
-        if before and before[-1] in ("project", "lake", "the", "a", "in", "to", "at") or nxt and nxt[0].lower() in _THINGS or tokens[fam][2] in _THINGS:
+        if before and before[-1] in ("project", "lake", "the", "a", "in", "to", "at") or nxt and nxt[0].lower() in _THINGS or tokens[fam][2] in _THINGS or tokens[i][2] in _PLACES:
             f.append("new:thing")
         out.append((x, y, f))
 
@@ -307,11 +322,13 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]
             if sum(c.isdigit() for c in m[0]) >= 5:
                 out.append((a, b, "id_number", [*_id_features(text, a, b), *_context("id_number", text, a, b)]))
     if _DIGIT.search(text):
-        if not _STREET_WORDS.isdisjoint(tokens) or any(p in low for p in _STREET_PARTS):
-            for m in ADDRESS.finditer(text):
-                a, b = m.span()
-                out.append((a, b, "address", [*_address_features(text, a, b), *_context("address", text, a, b)]))
-    known = {w for w in tokens if lex.known(w)}
+        for words, parts, pattern in ADDRESSES:
+            if not words.isdisjoint(tokens) or any(p in low for p in parts):
+                for m in pattern.finditer(text):
+                    a, b = m.span()
+                    out.append((a, b, "address", [*_address_features(text, a, b), *_context("address", text, a, b)]))
+    get = lex.seen.get
+    known = {w for w in tokens if (k := get(w)) or k is None and lex.known(w)}
     capitals = _TWO_CAPITALS.search(text)
     if known or capitals:
         spans = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
@@ -322,34 +339,47 @@ def candidates(text: str, lex: Lexicon) -> list[tuple[int, int, str, list[str]]]
     return [c for c in out if c[1] - c[0] <= MAX_SEGMENT]
 
 
+def _ordered(cands: list[tuple[int, int, str, list[str]]]) -> tuple[list, list[int]]:
+    """Candidates in order of their ends, and for each the number of those that end before it begins."""
+    cs = sorted(cands, key=lambda c: (c[1], c[0]))
+    ends = [c[1] for c in cs]
+    return cs, [bisect_right(ends, c[0], 0, i) for i, c in enumerate(cs)]
+
+
 class Field:
-    """Weights of the field's features."""
+    """Weights of the field's features, and of each pair of types of neighbouring segments (the first has none before it)."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], steps: dict[tuple[str, str], float]):
+        self.weights, self.steps = weights, steps
 
     def score(self, features: list[str]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features)
 
     def best(self, cands: list[tuple[int, int, str, list[str]]]) -> list[tuple[int, int, str]]:
-        """The segmentation of largest weight; on ties the earlier, longer segment."""
+        """The segmentation of largest weight; on ties the one with fewer, then earlier segments.
+
+        The state behind the first i candidates is the type of the last segment taken: at most one
+        entry for each type, so the work is linear in the candidates.
+        """
         if not cands:
             return []
-        cs = sorted(((a, b, k, s) for a, b, k, f in cands if (s := self.score(f)) > -20), key=lambda c: (c[1], c[0]))
-        best: list[tuple[float, int, int]] = []  # (weight with this segment last, previous segment, -)
-        top: list[tuple[float, int]] = [(0.0, -1)]  # best over the first i segments
-        ends = [c[1] for c in cs]
-        for i, (a, _, _, s) in enumerate(cs):
-            j = i
-            while j and ends[j - 1] > a:
-                j -= 1
-            best.append((top[j][0] + s, top[j][1], i))
-            top.append(max(top[-1], (best[-1][0], i), key=lambda x: x[0]))
-        out, i = [], top[-1][1]
-        while i >= 0:
-            out.append(cs[i][:3])
-            i = best[i][1]
+        if len(cands) == 1:
+            a, b, kind, f = cands[0]
+            return [(a, b, kind)] if self.score(f) + self.steps.get(("", kind), 0.0) > 0 else []
+        cs, before = _ordered(cands)
+        tops: list[dict[str, tuple[float, tuple | None]]] = [{"": (0.0, None)}]  # weight, chain of segments
+        for (a, b, kind, f), j in zip(cs, before):
+            now = dict(tops[-1])
+            w, last = max(((v + self.steps.get((k, kind), 0.0), chain) for k, (v, chain) in tops[j].items()), key=lambda x: x[0])
+            w += self.score(f)
+            if kind not in now or w > now[kind][0]:
+                now[kind] = (w, ((a, b, kind), last))
+            tops.append(now)
+        out, chain = [], max(tops[-1].values(), key=lambda x: x[0])[1]
+        while chain is not None:
+            out.append(chain[0])
+            chain = chain[1]
         return out[::-1]
 
 
@@ -367,7 +397,7 @@ def _made_up(rng: random.Random, lex: Lexicon) -> tuple[str, set[tuple[int, int,
         return rng.choice([s] * 6 + [s.upper(), s.lower()])
 
     def email() -> str:
-        local = rng.choice([f"{syl()}.{syl()}", f"{syl()}{d(2)}", f"{syl()}_{syl()}", syl()])
+        local = rng.choice([f"{syl()}.{syl()}", f"{syl()}{d(2)}", f"{syl()}_{syl()}", syl(), f"{given()[0].lower()}.{family().lower()}", f"{family().lower()}_{given().lower()}"])
         host = rng.choice([syl(), f"{syl()}-{syl()}"])
         tld = rng.choice(["com", "test", "example", "org", "invalid", "co"])
         return rng.choice([f"{local}@{host}.{tld}"] * 3 + [f"{local} at {host} dot {tld}", f"{local} [at] {host}.{tld}", f"{local} @ {host}.{tld}", f"{local} (at) mail.{host} (dot) {tld}", f"{local}(at){host}(dot){tld}"])
@@ -431,9 +461,9 @@ def _made_up(rng: random.Random, lex: Lexicon) -> tuple[str, set[tuple[int, int,
             put(address(), "address")
             put(rng.choice([f", near {word()}", f", not at {word()}", " before Monday", f", bring the {word()}"]))
         else:
-            put(rng.choice(["ask ", "Ms ", "my dentist, ", "Dr. ", "", "contact ", "I met "]))
+            put(rng.choice(["ask ", "Ms ", "my dentist, ", "Dr. ", "", "contact ", "I met ", "talked to ", "we spoke to "]))
             put(name(), "name")
-            put(rng.choice([" called about it", ", moved away", f" at the {word()} fair", "; they know", " said so"]))
+            put(rng.choice([" called about it", ", moved away", f" at the {word()} fair", "; they know", " said so", " takes over"]))
         put(rng.choice([". ", ".\n", "! ", " - "]))
     return text, segs
 
@@ -450,7 +480,7 @@ def _made_up_new(rng: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
     if rng.random() < 0.5:
         return rng.choice([
             f"the {cap()} {cap()} board met", f"{cap()} {cap()} ships today", f"we use {cap()} {cap()} for {syl()}", f"in {cap()} {cap()} it rained", f"flight to {cap()} {cap()} is late", f"trip from {cap()} {cap()} to {cap()}",
-            f"meet at {cap()} {cap()}", f"with {cap()} {cap()} installed", f"{cap()} {cap()} was slow", f"Project {cap()} {cap()} is out", f"the {cap()} Hall and the {cap()} Desk", f"plan {rng.choice('ABCX')} {cap()} wins", f"{cap()} {cap()}, {cap()} and {cap()}",
+            f"meet at {cap()} {cap()}", f"with {cap()} {cap()} installed", f"{cap()} {cap()} was slow", f"Project {cap()} {cap()} is out", f"Project {cap()} and Lake {cap()} both count", f"{cap()} and Lake {cap()} are far", f"the {cap()} Hall and the {cap()} Desk", f"plan {rng.choice('ABCX')} {cap()} wins", f"{cap()} {cap()}, {cap()} and {cap()}",
         ]) + ".", set()
     cue = rng.choice(["ask ", "Ms ", "Mr. ", "Dr. ", "my dentist ", "I met ", "my friend ", "our landlord ", "a colleague named ", "contact ", "with ", "from ", "", ""])
     known = rng.choice(_GIVEN)
@@ -460,48 +490,71 @@ def _made_up_new(rng: random.Random) -> tuple[str, set[tuple[int, int, str]]]:
     return text + name + rng.choice([" called about it", ", moved away", f" at the {syl()} fair", " said so", " and others"]) + ".", {(len(text), len(text) + len(name), "name")}
 
 
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in xs))
+
+
 def train(seed: int = 7) -> Field:
     """Weights by gradient ascent on the conditional likelihood, with a small quadratic penalty."""
     rng = random.Random(seed)
     lex = Lexicon([f"{g} {f}".lower() for k, f in enumerate(_FAMILY) if k % 3 for g in (rng.choice(_GIVEN), rng.choice(_GIVEN))])
     names: dict[str, int] = {}
+    kinds = {"": 0, **{k: i + 1 for i, k in enumerate(KINDS)}}
+    n_kinds = len(kinds)
     data = []
     new = random.Random(seed + 1)
     for k in range(TRAINING_TEXTS + NEW_TEXTS):
         text, segs = _made_up(rng, lex) if k < TRAINING_TEXTS else _made_up_new(new)
-        cs = sorted(candidates(text, lex), key=lambda c: (c[1], c[0]))
-        if not cs:
-            continue
-        feats = [np.array([names.setdefault(f, len(names)) for f in c[3]]) for c in cs]
-        ends = [c[1] for c in cs]
-        before = []
-        for i, c in enumerate(cs):
-            j = i
-            while j and ends[j - 1] > c[0]:
-                j -= 1
-            before.append(j)
-        data.append((feats, before, [(c[0], c[1], c[2]) in segs for c in cs]))
-    w, total = np.zeros(len(names)), np.zeros(len(names))
-    for step in range(TRAINING_ROUNDS):
+        cs, before = _ordered(candidates(text, lex))
+        if cs:
+            # a true segment may stand there as several candidates: they share it
+            gold = [[i for i, c in enumerate(cs) if c[:3] == s] for s in sorted(segs)]
+            data.append(([np.array([names.setdefault(f, len(names)) for f in c[3]]) for c in cs], before, [kinds[c[2]] for c in cs], [g for g in gold if g]))
+    n_steps = n_kinds * n_kinds
+    w, total = np.zeros(len(names) + n_steps), np.zeros(len(names) + n_steps)
+    for _ in range(TRAINING_ROUNDS):
         grad = -0.01 * w
-        for feats, before, gold in data:
+        step = w[len(names) :].reshape(n_kinds, n_kinds).tolist()
+        grad_step = [[0.0] * n_kinds for _ in range(n_kinds)]
+        for feats, before, kind, gold in data:
             n = len(feats)
             s = [float(w[f].sum()) for f in feats]
-            alpha = [0.0] * (n + 1)  # log weight of all segmentations of the first i candidates
+            # log weight of all segmentations of the first i candidates, by the type of the last segment
+            alpha = [[0.0] + [-math.inf] * (n_kinds - 1)]
+            enter = []
             for i in range(n):
-                alpha[i + 1] = float(np.logaddexp(alpha[i], alpha[before[i]] + s[i]))
-            out = [0.0] * (n + 1)  # gradient of the log partition by alpha
-            out[n] = 1.0
+                k, from_ = kind[i], alpha[before[i]]
+                enter.append(s[i] + _log_sum([from_[x] + step[x][k] for x in range(n_kinds)]))
+                row = alpha[i][:]
+                row[k] = _log_sum([row[k], enter[i]])
+                alpha.append(row)
+            whole = _log_sum(alpha[n])
+            out = [[0.0] * n_kinds for _ in range(n)] + [[math.exp(x - whole) for x in alpha[n]]]  # gradient of the log partition by alpha
             for i in range(n - 1, -1, -1):
-                take = math.exp(alpha[before[i]] + s[i] - alpha[i + 1]) * out[i + 1]
-                out[i] += out[i + 1] * math.exp(alpha[i] - alpha[i + 1])
-                out[before[i]] += take
-                if (g := gold[i] - take) and abs(g) > 1e-6:
-                    grad[feats[i]] += g
+                k, j = kind[i], before[i]
+                for x in range(n_kinds):
+                    out[i][x] += out[i + 1][x] * (math.exp(alpha[i][x] - alpha[i + 1][x]) if x == k and alpha[i][x] > -math.inf else x != k)
+                take = out[i + 1][k] * math.exp(enter[i] - alpha[i + 1][k])
+                if take > 1e-9:
+                    for x in range(n_kinds):
+                        if alpha[j][x] > -math.inf:
+                            share = take * math.exp(alpha[j][x] + step[x][k] + s[i] - enter[i])
+                            out[j][x] += share
+                            grad_step[x][k] -= share
+                    grad[feats[i]] -= take
+            last = 0
+            for same in gold:
+                top = _log_sum([s[i] for i in same])
+                for i in same:
+                    grad[feats[i]] += math.exp(s[i] - top)
+                grad_step[last][kind[same[0]]] += 1
+                last = kind[same[0]]
+        grad[len(names) :] += np.array(grad_step).ravel()
         total += grad * grad
         w += 0.7 * grad / np.sqrt(total + 1e-8)
-        del step
-    return Field({f: float(w[i]) for f, i in names.items()})
+    back = list(kinds)
+    return Field({f: float(w[i]) for f, i in names.items()}, {(back[x], back[k]): float(w[len(names) + x * n_kinds + k]) for x in range(n_kinds) for k in range(1, n_kinds)})
 
 
 @lru_cache(maxsize=1)
