@@ -4,8 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 a word is the sum over all its segmentations into pieces (forward algorithm), one number for
 each language; as no piece crosses white space, a text's score is the sum over its words, and
 a worker scores each distinct word once. Piece probabilities are trained by EM on a bounded
-sample of labelled documents, whose wrong labels are outvoted by training twice: the second
-time with the labels that the first model gives.
+sample of labelled documents, cut into sentences; wrong labels and mixed documents are outvoted
+before, by labelling each sentence anew with a model of whole words.
 """
 
 from __future__ import annotations
@@ -23,17 +23,28 @@ from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 LANGS = ("en", "de", "fr", "es", "pt", "nl")
-#: Training sees at most this many documents of each label and this many characters of each of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 150, 3_000
-EM_ROUNDS, LONGEST_PIECE, LONGEST_WORD, CACHE_WORDS = 2, 12, 40, 200_000
+#: Training sees at most this many documents of each label, whole.
+SAMPLE_DOCS = 150
+EM_ROUNDS, CACHE_WORDS = 2, 200_000
+#: Forward sums are scaled anew after so many letters, so that words of any length stay within floats.
+SCALED = 16
 #: A word counts for at most CLIP nats for or against a language; a part of a text in another language needs PART nats.
-#: A whole sentence in another language needs SENTENCE nats, of which one word gives WORD at most when stretches are looked for.
-CLIP, PART, SENTENCE, WORD, MIN_WORDS = 6.0, 16.0, 6.0, 4.0, 4
+#: A whole sentence in another language needs SENTENCE nats.
+CLIP, PART, SENTENCE, MIN_WORDS = 6.0, 16.0, 6.0, 4
+#: A word in fewer than KNOWN sentences of the sample (often a name, which has no language) counts for at most RARE nats.
+KNOWN, RARE = 3, 1.5
+CLEANED, PRIOR = 4, 2.0
 # Accepted names of the languages: English name, two-letter and three-letter codes.
 NAMES = {
     "en": ("english", "en", "eng"), "de": ("german", "de", "deu", "ger"), "fr": ("french", "fr", "fra", "fre"),
     "es": ("spanish", "es", "spa"), "pt": ("portuguese", "pt", "por"), "nl": ("dutch", "nl", "nld", "dut"),
 }
+# Frequent function words, which start the cleaning of the training labels.
+FUNCTION_WORDS = {
+    "en": "the of and to is was that it for with this are have had they when where who because which while".split(), "de": "der die das und ist nicht mit ein eine zu den von auf dem wir sich wird auch noch".split(),
+    "fr": "le les des et est une dans pour qui pas sur avec il elle nous du sont cette".split(), "es": "el los las una por con para del se y lo su fue está pero más este".split(),
+    "pt": "o os um uma não em com do da dos na ao foi mas mais ele ela você".split(), "nl": "het een van dat niet op te voor zijn er aan wij ze naar ook nog wordt deze".split(),
+}
 _BASE, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n")
@@ -59,18 +70,20 @@ def vocabulary(folder: str = TOKENIZERS) -> list[str]:
     sp = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, "piece_bpe_32k.model"))
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     letters = set("▁abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß'’")
-    return sorted({p for p in pieces if 0 < len(p) <= LONGEST_PIECE and "▁" not in p[1:]} | letters)
+    return sorted({p for p in pieces if p and "▁" not in p[1:]} | letters)
 
 
 class Scorer:
     """Log probabilities of words in each language, all segmentations summed."""
 
-    def __init__(self, pieces: list[str], probs: np.ndarray):
+    def __init__(self, pieces: list[str], probs: np.ndarray, known: frozenset[str] | None = None):
+        self.known = known
         self.number = {p: i for i, p in enumerate(pieces)}
         self.probs = probs  # (pieces + 1, languages); the last row is for an unknown letter
         self.padded = np.vstack([probs, np.zeros(probs.shape[1])])  # and one for no piece at all
         self.by_length = {}
-        for k in range(1, LONGEST_PIECE + 1):
+        self.longest = max(map(len, pieces))
+        for k in range(1, self.longest + 1):
             own = [p for p in pieces if len(p) == k]
             rolling = np.zeros(len(own), np.uint64)
             for i in range(k):
@@ -87,7 +100,7 @@ class Scorer:
         out = []
         for j in range(1, len(w) + 1):
             any_ = False
-            for i in range(max(0, j - LONGEST_PIECE), j):
+            for i in range(max(0, j - self.longest), j):
                 if (p := get(w[i:j])) is not None:
                     out.append((i, j, p))
                     any_ = True
@@ -111,17 +124,21 @@ class Scorer:
         n, size = len(words), len(words[0]) + 1
         points = np.array(["▁" + w for w in words], dtype=f"U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
         found, rolling = [], np.zeros((n, size + 1), np.uint64)
-        for k in range(1, min(size, LONGEST_PIECE) + 1):
+        for k in range(1, min(size, self.longest) + 1):
             rolling = rolling[:, :-1] * _BASE + points[:, k - 1 :] + _ONE
             keys, pieces = self.by_length[k]
             at = np.searchsorted(keys, rolling)
             found.append(np.where(keys[at] == rolling, pieces[at], len(self.number) + (k > 1)))
-        alpha = np.zeros((size + 1, n, self.probs.shape[1]))
+        alpha, scale = np.zeros((size + 1, n, self.probs.shape[1])), np.zeros((n, 1))
         alpha[0] = 1.0
         for j in range(1, size + 1):
-            for k in range(1, min(j, LONGEST_PIECE) + 1):
+            for k in range(1, min(j, self.longest) + 1):
                 alpha[j] += alpha[j - k] * self.padded[found[k - 1][:, j - k]]
-        s = np.log(alpha[-1] + 1e-300)
+            if j % SCALED == 0:
+                most = alpha[j].max(1, keepdims=True)
+                alpha[max(0, j - self.longest) : j + 1] /= most
+                scale += np.log(most)
+        s = np.log(alpha[-1] + 1e-300) + scale
         return np.clip(s - s.mean(1, keepdims=True), -CLIP, CLIP)
 
     def learn(self, words: set[str]) -> None:
@@ -131,15 +148,19 @@ class Scorer:
         lengths: dict[int, list[str]] = {}
         row = self.row
         for w in [w for w in words if w not in row]:
-            lengths.setdefault(min(len(w), LONGEST_WORD), []).append(w)
+            lengths.setdefault(len(w), []).append(w)
         for size, ws in lengths.items():
-            for at in range(0, len(ws), 2_000):
-                part = ws[at : at + 2_000]
+            most = max(1, 40_000 // (size + 1))  # words at once: so many letters
+            for at in range(0, len(ws), most):
+                part = ws[at : at + most]
                 n = len(self.row)
                 while n + len(part) > len(self.table):
                     self.table = np.vstack([self.table, np.zeros_like(self.table)])
-                # no language is told by the letters behind LONGEST_WORD; leaving them out keeps sums above the smallest float
-                self.table[n : n + len(part)] = self.score([w[:size] for w in part])
+                own = self.score(part)
+                if self.known is not None:
+                    rare = [w not in self.known for w in part]
+                    own[rare] = np.clip(own[rare], -RARE, RARE)
+                self.table[n : n + len(part)] = own
                 self.row.update(zip(part, range(n, n + len(part))))
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -162,11 +183,11 @@ def train(counts: dict[str, np.ndarray], pieces: list[str]) -> np.ndarray:
         s = Scorer(pieces, probs)
         mass[:] = 0.02
         for word, n in counts.items():
-            edges = s.lattice(word[:LONGEST_WORD])
-            alpha = s.forward(word[:LONGEST_WORD], edges)
+            edges = s.lattice(word)
+            alpha = s.forward(word, edges)
             beta = np.zeros_like(alpha)
             beta[-1] = 1.0
-            share = n / np.maximum(alpha[-1], 1e-300)
+            share = n / np.maximum(alpha[-1], 1e-300)  # beyond some hundred letters a word's share fades away
             for i, j, p in reversed(edges):
                 out = probs[p] * beta[j]
                 beta[i] += out
@@ -179,8 +200,11 @@ def text_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def fit(documents: DataFrame, folder: str = TOKENIZERS) -> tuple[list[str], np.ndarray]:
-    """Pieces and their probabilities in each language, from at most SAMPLE_DOCS documents of each label.
+Model = tuple[list[str], np.ndarray, frozenset[str]]
+
+
+def fit(documents: DataFrame, folder: str = TOKENIZERS) -> Model:
+    """Pieces, their probabilities in each language and the words known well, from at most SAMPLE_DOCS documents of each label.
 
     The sample holds the documents with the smallest hashes of their text, so it is the same
     whatever the partitions are. Languages without a labelled document get the common mean.
@@ -189,24 +213,56 @@ def fit(documents: DataFrame, folder: str = TOKENIZERS) -> tuple[list[str], np.n
 
     w = Window.partitionBy("label").orderBy("h", "text")
     sample = (
-        documents.select(label_language("lang").alias("label"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        documents.select(label_language("lang").alias("label"), "text")
         .where("label is not null and text is not null").withColumn("h", F.xxhash64("text"))
         .withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE_DOCS).select("label", "text").collect()
     )
+    return learn([(r["label"], r["text"]) for r in sample], folder)
+
+
+def _sentences(labelled: list[tuple[str, str]]) -> list[tuple[int, Counter]]:
+    """(language, words) of all sentences. Labels are wrong for some documents and for parts of mixed ones, so the sentences outvote them.
+
+    A naive Bayes model of whole words is fitted to the sentences that function words tell, and labels each
+    sentence anew, CLEANED times; the language of its document speaks for a sentence by PRIOR nats.
+    """
+    docs = [(LANGS.index(lang), [c for x in _BREAK.split(_ROLE.sub("", text)) if (c := Counter(text_words(x)))]) for lang, text in labelled]
+    now = [(lang, c) for lang, cs in docs for c in cs]
+    number: dict[str, int] = {}
+    for _, c in now:
+        for w in c:
+            number.setdefault(w, len(number))
+    at = [(np.array([number[w] for w in c]), np.array(list(c.values()), float)) for _, c in now]
+    mine = np.array([k for k, (_, cs) in enumerate(docs) for _ in cs])
+    told = np.array([[sum(c[w] for w in ws) for ws in FUNCTION_WORDS.values()] for _, c in now])
+    top = np.sort(told, axis=1)
+    labels = np.where(top[:, -1] - top[:, -2] >= 2, told.argmax(1), np.where(top[:, -1] > 0, -1, [lang for lang, _ in now]))
+    for _ in range(CLEANED):
+        counts = np.full((len(number), len(LANGS)), 0.1)
+        for lang, (ws, ns) in zip(labels, at):
+            if lang >= 0:
+                counts[ws, lang] += ns
+        logs = np.log(counts / counts.sum(0))
+        scores = np.array([ns @ logs[ws] for ws, ns in at])
+        whole = np.zeros((len(docs), len(LANGS)))
+        np.add.at(whole, mine, scores)
+        main = whole.argmax(1)
+        labels = (scores + PRIOR * np.eye(len(LANGS))[main[mine]]).argmax(1)
+    return [(int(lang), c) for lang, (_, c) in zip(labels, now)]
+
+
+def learn(labelled: list[tuple[str, str]], folder: str = TOKENIZERS) -> Model:
+    """The model of a sample of (language, text)."""
     pieces = vocabulary(folder)
-    docs = [(LANGS.index(r["label"]), Counter(text_words(r["text"]))) for r in sample]
-    probs = np.zeros(0)
-    for again in (False, True):
-        counts: dict[str, np.ndarray] = {}
-        if again:
-            s = Scorer(pieces, probs)
-            docs = [(int(s.scores(list(c.elements())).sum(0).argmax()) if c else lang, c) for lang, c in docs]
-        for lang, c in docs:
-            for word, n in c.items():
-                counts.setdefault(word, np.zeros(len(LANGS)))[lang] += n
-        # a word once in the sample tells little but costs as much; a rounded square root keeps frequent ones from drowning the rest
-        probs = train({x: np.sqrt(n) for x, n in counts.items() if n.sum() > 1} or {"a": np.ones(len(LANGS))}, pieces)
-    return pieces, probs
+    sentences = _sentences(labelled) if labelled else []
+    counts: dict[str, np.ndarray] = {}
+    for lang, c in sentences:
+        for word, n in c.items():
+            counts.setdefault(word, np.zeros(len(LANGS)))[lang] += n
+    # square roots keep frequent words from drowning the rest
+    probs = train({x: np.sqrt(n) for x, n in counts.items()} or {"a": np.ones(len(LANGS))}, pieces)
+    seen = Counter(w for _, c in sentences for w in c)
+    return pieces, probs, frozenset(w for w, n in seen.items() if n >= KNOWN)
 
 
 def _posterior(total: np.ndarray) -> np.ndarray:
@@ -215,8 +271,11 @@ def _posterior(total: np.ndarray) -> np.ndarray:
 
 
 def _other_part(scores: np.ndarray, main: int) -> bool:
-    """Whether some stretch of words is better by SENTENCE in another language than in ``main``; one word adds WORD at most."""
-    cum = np.minimum(scores - scores[:, main : main + 1], WORD).cumsum(axis=0)
+    """Whether some stretch of words is better by SENTENCE in another language than in ``main``.
+
+    Every part in another language is such a stretch, so a text without one has none.
+    """
+    cum = (scores - scores[:, main : main + 1]).cumsum(axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(cum, axis=0), 0)
     return bool(((cum[1:] - low[:-1]) >= SENTENCE).any())
 
@@ -346,7 +405,7 @@ def _labeller(bc, wrong_only: bool):
 
 
 def language_parts(
-    documents: DataFrame, model: tuple[list[str], np.ndarray] | None = None, folder: str = TOKENIZERS, wrong_only: bool = False
+    documents: DataFrame, model: Model | None = None, folder: str = TOKENIZERS, wrong_only: bool = False
 ) -> DataFrame:
     """(doc_id, para_no, lang_found, confidence, n_words); ``documents`` has (doc_id, text, lang), other columns are ignored.
 
@@ -368,6 +427,6 @@ def document_languages(parts: DataFrame) -> DataFrame:
     )
 
 
-def mislabelled(documents: DataFrame, model: tuple[list[str], np.ndarray] | None = None, folder: str = TOKENIZERS) -> DataFrame:
+def mislabelled(documents: DataFrame, model: Model | None = None, folder: str = TOKENIZERS) -> DataFrame:
     """The parts of all documents whose label is missing, names no language or another, or which hold several languages."""
     return language_parts(documents, model, folder, wrong_only=True)
