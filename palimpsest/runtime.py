@@ -77,6 +77,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    p, fs = _hadoop(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file in the shared store; None if there is none."""
     p, fs = _hadoop(spark, path)
