@@ -3,8 +3,9 @@
 A session's lines form a chain by parent links. Lines are partitioned by session, put in
 chain order and read by a finite-state automaton. A session of more than ``HOT_LINES`` lines
 never enters one task: its order comes from pointer doubling over (session, line) keys. The
-automaton then runs in two levels for every session alike, blocks of ``BLOCK`` turns reduced
-to their transition summary and the summaries composed.
+automaton (``STEPS``) runs in two levels for every session alike: each block of ``BLOCK`` lines
+is reduced to the function from the state before it to the state behind it, and the blocks'
+functions are applied one after the other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import cut
 
-HOT_LINES, BLOCK = 20_000, 5_000
+HOT_LINES, BLOCK, SALTS = 20_000, 5_000, 16
+#: States: nothing said yet, a user waits, answered, broken. For each turn, the state that follows each state.
+EMPTY, WAITING, ANSWERED, BROKEN = range(4)
+STEPS = {"user": [WAITING, BROKEN, WAITING, BROKEN], "assistant": [ANSWERED, ANSWERED, ANSWERED, BROKEN]}
 _KIND = "session string, uuid string, seq int, kind string, has_text boolean"
 
 
@@ -107,13 +111,21 @@ def _double(lines: DataFrame) -> DataFrame:
 
 
 def ordered_lines(chain: DataFrame) -> DataFrame:
-    """(session, uuid, seq, kind, has_text) of every session whose chain is a single line."""
-    lines = cut(chain.join(single_chains(chain), "session"))
+    """(session, uuid, seq, kind, has_text) of every session whose chain is a single line. The sessions' sizes meet their lines by salted keys."""
+    salt = F.pmod(F.xxhash64("uuid"), F.lit(SALTS)).cast("int")
+    sizes = single_chains(chain).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lines = cut(chain.withColumn("salt", salt).join(sizes, ["session", "salt"]).drop("salt"))
     small = lines.where(F.col("n") <= HOT_LINES).drop("n").repartition("session").sortWithinPartitions("session").mapInPandas(_walk, _KIND)
     hot = lines.where(F.col("n") > HOT_LINES).drop("n")
     return small if hot.isEmpty() else small.unionByName(_double(hot))
 
 
+def automaton(kinds: Column) -> Column:
+    """The function of a block of turns, as the array of states behind it for each state before it."""
+    step = lambda f, k: F.transform(f, lambda s: F.get(F.when(k == "user", F.array(*map(F.lit, STEPS["user"]))).otherwise(F.array(*map(F.lit, STEPS["assistant"]))), s))
+    return F.aggregate(kinds, F.array(*map(F.lit, range(4))), step)
+
+
 def conversations(lines: DataFrame) -> DataFrame:
     """The turns of all sound sessions: (session_id, turn_no, uuid, role).
 
@@ -121,18 +133,14 @@ def conversations(lines: DataFrame) -> DataFrame:
     are ignored and repeated lines count once. A session is dropped if its chain is broken, it has
     no turn, or the turn after some user turn isn't an assistant turn. An empty input gives no rows.
     """
-    turns = ordered_lines(chain_lines(lines)).where("kind in ('user', 'assistant') and has_text").withColumn("block", F.expr("seq div 5000"))
-    inner = Window.partitionBy("session", "block").orderBy("seq")
-    turns = turns.withColumn("rn", F.row_number().over(inner)).withColumn("next", F.lead("kind").over(inner))
-    blocks = turns.groupBy("session", "block").agg(
-        F.count("*").alias("n"), F.min_by("kind", "seq").alias("first"), F.max_by("kind", "seq").alias("last"),
-        F.max((F.col("kind") == "user") & F.coalesce(F.col("next") != "assistant", F.lit(False))).alias("bad"),
-    )
-    outer = Window.partitionBy("session").orderBy("block")
-    blocks = blocks.withColumn("base", F.sum("n").over(outer) - F.col("n")).withColumn(
-        "bad", F.col("bad") | ((F.col("last") == "user") & (F.coalesce(F.lead("first").over(outer), F.lit("")) != "assistant"))
-    )
-    sound = blocks.withColumn("broken", F.max("bad").over(Window.partitionBy("session"))).where("not broken")
+    turns = ordered_lines(chain_lines(lines)).where("kind in ('user', 'assistant') and has_text").withColumn("block", F.floor(F.col("seq") / BLOCK))
+    turns = turns.withColumn("rn", F.row_number().over(Window.partitionBy("session", "block").orderBy("seq")))
+    blocks = turns.groupBy("session", "block").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]).alias("kinds"))  # at most BLOCK
+    blocks = blocks.select("session", "block", "n", automaton(F.col("kinds")).alias("f"))
+    blocks = blocks.withColumn("base", F.sum("n").over(Window.partitionBy("session").orderBy("block")) - F.col("n"))
+    whole = blocks.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("block", "f"))).alias("fs"))  # one entry for BLOCK lines
+    sound = whole.where(F.aggregate("fs", F.lit(EMPTY), lambda s, b: F.get(b["f"], s)) == ANSWERED).select("session")
+    sound = blocks.join(sound, "session")
     return turns.join(sound.select("session", "block", "base"), ["session", "block"]).select(
         F.col("session").alias("session_id"), (F.col("base") + F.col("rn")).cast("int").alias("turn_no"), "uuid", F.col("kind").alias("role")
     )

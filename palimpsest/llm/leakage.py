@@ -10,13 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import words
+from palimpsest.runtime import store
 
-RUN = 10
-#: Test n-grams are broadcast up to this number (about 300 bytes each in a worker); beyond it the hashes are joined.
-BROADCAST_NGRAMS = 500_000
+#: Tests are broadcast in rounds of so many words (about 300 bytes each in a worker), in pieces of so many words.
+RUN, BROADCAST_WORDS, PIECE = 10, 500_000, 5_000
+SPANS = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint"
 _WORD = re.compile(r"[^\W_]+")
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``words(text)`` begin and end in the text itself; some letters are several in lower case."""
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    at = [k for k, c in enumerate(text) for _ in c.lower()]
+    return [(at[a], at[b - 1] + 1) for a, b in spans]
+
+
 def _index(items: list[tuple[int, str]], n: int) -> tuple[dict, dict]:
     """Word numbers, and the items of each n-gram of word numbers."""
     number: dict[str, int] = {}
@@ -63,52 +74,55 @@ def _scanner(bc, n: int):
     return scan
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, n: int = RUN) -> DataFrame:
+def _pieces(n: int):
+    """Tests cut into pieces of PIECE words, each reaching n - 1 words into the next, so no n-gram is lost."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words(text)
+                out += [(item, at // PIECE, len(ws[at : at + PIECE + n - 1]), " ".join(ws[at : at + PIECE + n - 1])) for at in range(0, max(1, len(ws)), PIECE)]
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["item_id", "piece", "n", "text"])
+
+    return cut
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, n: int = RUN, most: int = BROADCAST_WORDS) -> DataFrame:
     """Word spans of documents that share at least ``n`` consecutive words with a test item.
 
     ``documents`` has (doc_id, text), ``items`` (item_id, item_text); other columns are ignored.
     Gives (doc_id, item_id, first_word, n_words), spans of one item merged where they touch.
     Null or short texts match nothing; either side may be empty; repeated rows repeat nothing
-    but their own spans.
+    but their own spans. Tests are broadcast in rounds of about ``most`` words, each of which
+    scans the documents once; one round holds them all unless there are more words.
     """
     spark = documents.sparkSession
-    tests = items.select("item_id", "item_text").where("item_text is not null")
-    size = tests.select(F.sum(F.size(F.regexp_extract_all("item_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))).first()[0] or 0
-    if size > BROADCAST_NGRAMS:
-        return _find_by_join(documents, tests, n)
-    index = _index([tuple(r) for r in tests.collect()], n)  # size checked above
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        _scanner(spark.sparkContext.broadcast(index), n), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint"
-    )
-
-
-def _windows(n: int):
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, at, gram = [], [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = words(text or "")
-                for i in range(len(ws) - n + 1):
-                    key.append(k)
-                    at.append(i)
-                    gram.append(" ".join(ws[i : i + n]))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(gram, pa.string())], ["key", "at", "gram"])
-
-    return cut_up
-
-
-def _find_by_join(documents: DataFrame, tests: DataFrame, n: int) -> DataFrame:
-    """The same for any number of test n-grams: windows are joined on their text (so a hit needs no second check)."""
-    kind = "key bigint, at bigint, gram string"
-    grams = tests.select(F.col("item_id").cast("bigint"), "item_text").mapInArrow(_windows(n), kind).select(F.col("key").alias("item_id"), "gram").distinct()
-    docs = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_windows(n), kind).select(F.col("key").alias("doc_id"), "at", "gram")
+    tests = items.select(F.col("item_id").cast("bigint"), "item_text").where("item_id is not null and item_text is not null")
+    pieces = store(tests.mapInArrow(_pieces(n), "item_id bigint, piece int, n int, text string"))
+    size = pieces.agg(F.sum("n")).first()[0] or 0
+    rounds, out = max(1, -(-size // most)), None
+    docs = documents.select(F.col("doc_id").cast("bigint"), "text")
+    for k in range(rounds):
+        own = pieces if rounds == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(rounds)) == k)
+        index = _index([tuple(r) for r in own.select("item_id", "text").collect()], n)  # about ``most`` words
+        found = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(index), n), SPANS)
+        out = found if out is None else out.unionByName(found)
+    return out if rounds == 1 else _merged(out)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of several rounds: those of one document and item that touch become one."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id", "item_id").orderBy("at")
+    w = Window.partitionBy("doc_id", "item_id").orderBy("first_word", "n_words")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("first_word") + F.col("n_words")
+    new = F.coalesce((F.col("first_word") > F.max(end).over(before)).cast("int"), F.lit(1))
     return (
-        docs.join(grams, "gram").withColumn("new", (F.col("at") > F.coalesce(F.lag("at").over(w), F.lit(-n - 2)) + n).cast("int"))
-        .withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "item_id", "run")
-        .agg(F.min("at").alias("first_word"), (F.max("at") + n - F.min("at")).alias("n_words")).drop("run")
+        spans.distinct().withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "item_id", "run")
+        .agg(F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words")).drop("run")
     )
 
 
@@ -128,7 +142,7 @@ def remove_leaks(documents: DataFrame, leaks: DataFrame, whole: bool = False) ->
         def one(t, ss):  # noqa: ANN001, ANN202
             if ss is None or t is None or len(ss) == 0:
                 return t
-            at = [m.span() for m in _WORD.finditer(t)]
+            at = word_spans(t)
             drop = sorted((at[s["first_word"]][0], at[min(s["first_word"] + s["n_words"], len(at)) - 1][1]) for s in ss if s["first_word"] < len(at))
             out, pos = [], 0
             for a, b in drop:

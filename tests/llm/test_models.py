@@ -104,6 +104,32 @@ def test_names_beyond_the_lexicon(finder):
         assert finder.find(text) == []
 
 
+def test_neighbouring_types_weigh(finder):
+    from palimpsest.llm.pii import Field
+
+    cands = [(0, 4, "name", ["a"]), (5, 9, "phone", ["b"])]
+    assert Field({"a": 1.0, "b": 1.0}, {}).best(cands) == [(0, 4, "name"), (5, 9, "phone")]
+    assert Field({"a": 1.0, "b": 1.0}, {("name", "phone"): -3.0}).best(cands) == [(0, 4, "name")]
+    assert finder.field.steps and all(np.isfinite(list(finder.field.steps.values())))
+
+
+@pytest.mark.parametrize("name", ["Wolfgang Schneider", "Maria Gonzalez", "John Smith"])
+def test_names_of_no_list(finder, name):
+    for before, after in (("please ask ", " about it."), ("I met Dr. ", " called."), ("Regards, ", "")):
+        text = before + name + after
+        assert [text[a:b] for a, b, k in finder.find(text) if k == "name"] == [name]
+
+
+def test_streets_with_particles(finder):
+    text = "ship it to 12 allée des Tilleuls before Monday"
+    assert [(k, text[a:b]) for a, b, k in finder.find(text)] == [("address", "12 allée des Tilleuls")]
+
+
+def test_words_of_any_length(model):
+    s = lang.Scorer(*model)
+    assert np.isfinite(s.score(["straße" * 3_000])).all()
+
+
 def test_likely_names_at_any_size_of_the_lexicon():
     letters = "abcdefghijklmnopqrstuvwxyz"
     heads, tails = [f"h{a}{b}" for a in letters for b in letters], [f"{a}{b}q" for a in letters for b in letters]
