@@ -2,7 +2,9 @@
 
 ``interpretations(text, zone)`` gives a list of (cost, form, utc_us). ``cost`` counts how
 many conventions the reading breaks (0: none), ``form`` names format and zone handling so
-that switches of format can be seen. Text that denotes no instant gives an empty list.
+that switches of format can be seen. Dates with dashes and the year last have two readings
+that no convention separates; the path over the neighbouring records chooses. Text that
+denotes no instant gives an empty list.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ _DATES = (
     ("ymd_slash", r"(?P<y>\d{4})/(?P<mo>\d{1,2})/(?P<d>\d{1,2})"),
     ("slash", r"(?P<a>\d{1,2})/(?P<b>\d{1,2})/(?P<y>\d{4})"),
     ("dot", r"(?P<a>\d{1,2})\.(?P<b>\d{1,2})\.(?P<y>\d{4})"),
+    ("dash", r"(?P<a>\d{1,2})-(?P<b>\d{1,2})-(?P<y>\d{4})"),
     ("dmy_name", _DAY_NAME + r"(?P<d>\d{1,2})(?:st|nd|rd|th)?[\s-]+(?P<mon>[A-Za-z]{3,9})\.?,?[\s-]+(?P<y>\d{4})"),
     ("mdy_name", _DAY_NAME + r"(?P<mon>[A-Za-z]{3,9})\.?\s+(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>\d{4})"),
     ("compact", r"(?P<y>\d{4})(?P<mo>\d\d)(?P<d>\d\d)(?=T)"),
@@ -113,7 +116,7 @@ def interpretations(text: str | None, zone: str | None) -> list[tuple[int, str,
     if text is None:
         return []
     t = text.strip()
-    if not t or len(t) > 80:
+    if not t:
         return []
     if PLAIN.fullmatch(t):
         try:
@@ -142,8 +145,9 @@ def interpretations(text: str | None, zone: str | None) -> list[tuple[int, str,
     micro = int(((g.get("f") or "") + "000000")[:6])
     if "a" in g:
         a, b = int(g["a"]), int(g["b"])
-        order = [(0, "mdy", a, b), (1, "dmy", b, a)] if name == "slash" else [(0, "dmy", b, a), (1, "mdy", a, b)]
-        if a == b:
+        # slashes are month first, dots day first; no convention tells for dashes, so both orders cost the same
+        order = {"slash": [(0, "mdy", a, b), (1, "dmy", b, a)], "dot": [(0, "dmy", b, a), (1, "mdy", a, b)], "dash": [(0, "mdy", a, b), (0, "dmy", b, a)]}[name]
+        if a == b and name != "dash":
             order.pop()
     elif "mon" in g:
         if g["mon"].lower() not in FULL_MONTHS:
@@ -156,7 +160,7 @@ def interpretations(text: str | None, zone: str | None) -> list[tuple[int, str,
         try:
             locals_.append((cost, tag, datetime(int(g["y"]), mo, d, hour, int(g["mi"] or 0), int(g["s"] or 0), micro)))
         except ValueError:
-            if k == 0:  # the conventional order names no date, so the text denotes none
+            if k == 0 and name != "dash":  # the conventional order names no date, so the text denotes none
                 return []
     stated = _offset(g["off"]) if g.get("off") else None
     if g.get("off") and stated is None:

@@ -16,11 +16,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.runtime import require, squash
+from palimpsest.runtime import delete, publish_text, read_text, require, squash
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 #: Window groups hold at most one chain's statements of this many seconds, so that a chain with a third of all rows is spread.
 SPAN_SECONDS = 30 * 86_400
+#: Statement folders of so many updates are folded into one.
+MOST_PARTS = 16
 
 
 def utc_seconds(text: str) -> Column:
@@ -115,25 +117,16 @@ class HistoryStore:
 
     ``CURRENT`` names the live version; it is replaced by one rename, so readers see the
     chains before an update or after it. Buckets no update touches are carried over by
-    reference, never rewritten. One writer at a time is assumed.
+    reference, never rewritten. Statements of MOST_PARTS updates are folded into one folder.
+    The number of buckets is fixed when the store is made: an update reads and writes the
+    touched ones, so there should be many of them beside what an update touches. One writer
+    at a time is assumed.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.removeprefix("file://"), buckets
-        os.makedirs(self.path, exist_ok=True)
-
-    def _manifest(self) -> dict:
-        at = os.path.join(self.path, "CURRENT")
-        if not os.path.exists(at):
-            return {"statements": [], "chains": {}}
-        with open(at) as f:
-            return json.load(f)
-
-    def _publish(self, manifest: dict) -> None:
-        temp = os.path.join(self.path, f".CURRENT-{uuid.uuid4().hex}")
-        with open(temp, "w") as f:
-            json.dump(manifest, f)
-        os.replace(temp, os.path.join(self.path, "CURRENT"))
+        self.spark, self.path = spark, path
+        text = read_text(spark, os.path.join(path, "CURRENT"))
+        self.state = json.loads(text) if text else {"buckets": buckets, "statements": [], "chains": {}}
 
     def _read(self, folders: list[str], buckets: list[int] | None = None) -> DataFrame | None:
         parts = [self.spark.read.option("basePath", f).parquet(f) for f in folders]
@@ -144,13 +137,22 @@ class HistoryStore:
             out = p if out is None else out.unionByName(p)
         return out
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("entity"), F.lit(self.buckets)).cast("int")
+    def _write(self, rows: DataFrame, name: str) -> str:
+        at = os.path.join(self.path, f"{name}-{uuid.uuid4().hex}")
+        rows.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.lit(self.state["buckets"])).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(at)
+        return at
+
+    def _publish(self, state: dict) -> None:
+        publish_text(self.spark, os.path.join(self.path, "CURRENT"), json.dumps(state))
+        before, self.state = self.state, state
+        gone = {*before["statements"], *before["chains"].values()} - {*state["statements"], *state["chains"].values()}
+        for folder in gone:
+            delete(self.spark, folder)
 
     def chains(self) -> DataFrame | None:
         """The live chains; None before the first update."""
         live: dict[str, list[int]] = {}
-        for b, folder in self._manifest()["chains"].items():
+        for b, folder in self.state["chains"].items():
             live.setdefault(folder, []).append(int(b))
         out = None
         for folder, buckets in live.items():
@@ -162,31 +164,32 @@ class HistoryStore:
         """Add raw statements, rebuild the chains of the entities they touch and publish at once.
 
         Only the buckets of touched entities are read and written; their untouched entities'
-        chains are copied, not recomputed. Buckets number ``self.buckets``, a fixed bound.
+        chains are copied, not recomputed. Buckets have a fixed number.
         """
-        now, tag = self._manifest(), uuid.uuid4().hex
-        added = os.path.join(self.path, f"statements-{tag}")
-        new.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(added)
-        fresh = self.spark.read.option("basePath", added).schema(new.withColumn("bucket", self._bucket()).schema).parquet(added)
-        touched_buckets = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most self.buckets numbers
-        if not touched_buckets:
+        if new.isEmpty():
             return
+        now = self.state
+        added = self._write(new, "statements")
+        fresh = self.spark.read.option("basePath", added).parquet(added)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most as many as buckets
         entities = fresh.select("entity").distinct()
-        raw = self._read([*now["statements"], added], touched_buckets).join(entities, "entity", "left_semi")
+        raw = self._read([*now["statements"], added], touched).join(entities, "entity", "left_semi")
         rebuilt = build_chains(raw.drop("bucket"))
         old: dict[str, list[int]] = {}
-        for b in touched_buckets:
+        for b in touched:
             if str(b) in now["chains"]:
                 old.setdefault(now["chains"][str(b)], []).append(b)
         for folder, buckets in old.items():
             kept = self._read([folder], buckets).drop("bucket").join(entities, "entity", "left_anti")
             rebuilt = rebuilt.unionByName(kept)
-        target = os.path.join(self.path, f"chains-{tag}")
-        rebuilt.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(target)
-        self._publish({
-            "statements": [*now["statements"], added],
-            "chains": now["chains"] | {str(b): target for b in touched_buckets},
-        })
+        target = self._write(rebuilt, "chains")
+        statements_ = [*now["statements"], added]
+        if len(statements_) > MOST_PARTS:
+            statements_ = [self._write(self._read(statements_).drop("bucket"), "statements")]
+        self._publish({"buckets": now["buckets"], "statements": statements_, "chains": now["chains"] | {str(b): target for b in touched}})
+
+    def drop(self) -> None:
+        delete(self.spark, self.path)
 
 
 def rebuild_affected(chains: DataFrame | None, raw: DataFrame, touched: DataFrame | None) -> DataFrame:

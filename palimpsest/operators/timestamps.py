@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stamps import interpretations
@@ -231,15 +232,27 @@ def message_stamps(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def record_order(rows: DataFrame) -> Column:
+    """The place of a row in its file, if it comes from one (files count by their names), else its place in the partitions."""
+    try:
+        rows.select("_metadata.row_index")
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def transcript_stamps(lines: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The same of transcript lines with uuid; zone is the session's host zone. Lines carry no record number, so they are ordered by hash of uuid."""
+    """The same of transcript lines with uuid; zone is the session's host zone. Lines carry no record number: they stand in the order of their file.
+
+    ``ord`` holds the row's place in its file; of repeated lines the first place counts.
+    """
     zones = sessions.select(F.col("session_id").alias("source"), "host_zone").groupBy("source").agg(F.max("host_zone").alias("zone"))
-    return (
-        lines.where("uuid is not null and uuid <> ''")
-        .select("uuid", F.col("sessionId").alias("source"), F.col("timestamp").alias("stamp"))
-        .dropDuplicates(["uuid"])
-        .join(zones, "source", "left")
-        .select(F.lit("transcript").alias("tbl"), F.col("uuid").alias("row_key"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("uuid").alias("ord"), "stamp", "zone")
+    once = (
+        lines.where("uuid is not null and uuid <> ''").select("uuid", F.col("sessionId").alias("source"), F.col("timestamp").alias("stamp"), record_order(lines).alias("at"))
+        .groupBy("uuid").agg(F.min(F.struct("at", "source", "stamp")).alias("r")).select("uuid", "r.at", "r.source", "r.stamp")
+    )
+    return once.join(zones, "source", "left").select(
+        F.lit("transcript").alias("tbl"), F.col("uuid").alias("row_key"), F.concat_ws(" ", F.coalesce("source", F.lit("")), "at.file").alias("source"), F.col("at.row").alias("ord"), "stamp", "zone"
     )
 
 

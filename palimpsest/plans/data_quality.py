@@ -1,9 +1,14 @@
 """Queries for problems 2 and 6: attribute history and timestamps."""
 
-from palimpsest.operators.history import build_chains, rebuild_affected, statements, versions_text
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators.history import HistoryStore, build_chains, rebuild_affected, statements, versions_text
 from palimpsest.operators.timestamps import message_stamps, normalise_timestamps, transcript_stamps, unusual_stamps
 from palimpsest.plans.registry import Registry
-from palimpsest.runtime import table
+from palimpsest.runtime import checkpoint_dir, store, table
 
 registry = Registry()
 
@@ -35,20 +40,32 @@ def _statements(spark, folder):
     return statements(table(spark, folder, "fact_timeline"), table(spark, folder, "fact_snapshots"))
 
 
+def _is_late():
+    """Which statements come late: the snapshots since 2025 and every tenth fact."""
+    return (F.col("seq") % 10 == 0) | ((F.col("origin") == "snapshot") & (F.col("at") >= 1_735_689_600))
+
+
 @registry.add("p2_found", HISTORY_SQL)
 def p2_found(spark, folder):
-    return versions_text(rebuild_affected(None, _statements(spark, folder), None))
+    """The history in a store: first load, then the late and corrected statements, which rebuild the chains of their entities."""
+    store_ = HistoryStore(spark, os.path.join(checkpoint_dir(spark), f"history-{uuid.uuid4().hex}"))
+    every = store(_statements(spark, folder).withColumn("late", _is_late()))
+    store_.apply_updates(every.where("not late").drop("late"))
+    store_.apply_updates(every.where("late").drop("late"))
+    chains = store_.chains()
+    if chains is None:
+        chains = build_chains(every.drop("late"))
+    out = store(versions_text(chains))
+    store_.drop()
+    return out
 
 
 @registry.add("p2_late_update", HISTORY_SQL)
 def p2_late_update(spark, folder):
-    """The same history, first built without the snapshots' last year and every tenth fact, then brought up to date."""
-    from pyspark.sql import functions as F
-
+    """The same history without a store: built without the late statements, then brought up to date."""
     every = _statements(spark, folder)
-    late = (F.col("seq") % 10 == 0) | ((F.col("origin") == "snapshot") & (F.col("at") >= 1_735_689_600))
-    before = build_chains(every.where(~late))
-    return versions_text(rebuild_affected(before, every, every.where(late)))
+    before = build_chains(every.where(~_is_late()))
+    return versions_text(rebuild_affected(before, every, every.where(_is_late())))
 
 
 def _stamps(spark, folder):

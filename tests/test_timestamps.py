@@ -48,7 +48,7 @@ def best_path(cands):
 
 def test_paths_across_partitions_are_optimal(spark, monkeypatch):
     rng = random.Random(3)
-    stamps = ["2024-11-03T01:30:00", "03/04/2024 1:00 AM", "05.06.2024 10:00:00", "2024-05-01T00:00:00Z", "nonsense", None, "20240108", "1704760463"]
+    stamps = ["05-06-2024 10:00:00", "03-04-2024", "2024-11-03T01:30:00", "03/04/2024 1:00 AM", "05.06.2024 10:00:00", "2024-05-01T00:00:00Z", "nonsense", None, "20240108", "1704760463"]
     data = [("t", f"{s}-{i}", s, i, rng.choice(stamps), rng.choice(["America/New_York", None])) for s in ("hot", "a", "b") for i in range(80 if s == "hot" else 6)]
     out = ts.normalise_timestamps(spark.createDataFrame(data, KIND)).collect()
     assert len(out) == len(data)
@@ -66,5 +66,17 @@ def test_paths_across_partitions_are_optimal(spark, monkeypatch):
         assert got == want[0]
 
 
+def test_the_path_decides_where_no_convention_does(spark):
+    """Dates like 05-06-2024 have two readings of equal cost: the neighbours' order and form choose, over partitions too."""
+    def chosen(stamps):
+        rows = [("t", str(i), "s", i, x, None) for i, x in enumerate(stamps)]
+        return {r["row_key"]: r["utc_us"] for r in ts.normalise_timestamps(spark.createDataFrame(rows, KIND).repartition(3)).collect()}
+
+    assert chosen(["2024-05-01T00:00:00Z", "05-06-2024", "2024-05-20T00:00:00Z"])["1"] == us("2024-05-06T00:00:00")
+    assert chosen(["2024-05-20T00:00:00Z", "05-06-2024", "2024-07-01T00:00:00Z"])["1"] == us("2024-06-05T00:00:00")
+    days = chosen([f"{d:02d}-03-2024" for d in range(1, 29)])
+    assert [days[str(i)] for i in range(28)] == [us(f"2024-03-{d:02d}T00:00:00") for d in range(1, 29)]
+
+
 def test_empty_table(spark):
     assert ts.normalise_timestamps(spark.createDataFrame([], KIND)).count() == 0
