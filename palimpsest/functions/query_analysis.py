@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,25 @@ def classify(df: DataFrame, query: str = "query") -> DataFrame:
     return out
 
 
+def kind_and_weights(query: str) -> tuple[str, dict[str, float]]:
+    """The type of one question and the weights that its type gives the searches."""
+    low = query.lower()
+    hits = {t: sum(bool(re.search(p, low)) for p in ps) for t, (ps, _) in L.QUERY_TYPES.items()}
+    best = max(hits.values())
+    kind = next(t for t, n in hits.items() if n == best) if best else "general"
+    return kind, dict(zip(WEIGHTS, L.QUERY_TYPES[kind][1] if best else (1.0,) * len(WEIGHTS)))
+
+
+def is_diffuse(query: str) -> bool:
+    return any(re.search(p, query.lower()) for p in L.DIFFUSE)
+
+
+def kind_of_answer(query: str) -> str:
+    """detail, synthesis or general, for one question."""
+    low = query.lower().strip()
+    return "detail" if any(re.search(p, low) for p in L.DETAIL) else "synthesis" if any(re.search(p, low) for p in L.SYNTHESIS) else "general"
+
+
 def search_mode(query: Column) -> Column:
     return F.when(_matches(F.lower(query), L.DIFFUSE) > 0, "diffuse").otherwise("spotlight")
 
@@ -43,8 +64,11 @@ def question_type(query: Column) -> Column:
     return F.when(_matches(q, L.DETAIL) > 0, "detail").when(_matches(q, L.SYNTHESIS) > 0, "synthesis").otherwise("general")
 
 
-def named_entities(queries: DataFrame, entities: DataFrame, most_words: int = 3) -> DataFrame:
-    """(qid, entity): known entities whose words stand in the query as a whole; by equi-join on runs of up to ``most_words`` words."""
+def named_entities(queries: DataFrame, entities: DataFrame, most_words: int = 8) -> DataFrame:
+    """(qid, entity): known entities whose words stand in the query as a whole.
+
+    By equi-join on runs of up to ``most_words`` words; the few entities of more words meet the queries that hold their first word.
+    """
     words = F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
     w = queries.select("qid", words.alias("w"))
 
@@ -53,27 +77,7 @@ def named_entities(queries: DataFrame, entities: DataFrame, most_words: int = 3)
         return F.when(F.size("w") >= n, at).otherwise(F.array().cast("array<string>"))
 
     runs = [of(n) for n in range(1, most_words + 1)]
-    return w.select("qid", F.explode(F.array_distinct(F.concat(*runs))).alias("entity")).join(entities.select("entity"), "entity").select("qid", "entity")
-
-
-MONTH_NUMBER = {m: i + 1 for i, m in enumerate(L.MONTHS.split("|"))}
-
-
-def date_reference(text: Column) -> Column:
-    """The first day that a phrase names, as yyyy-MM-dd: ISO days, 'June 15, 2025', 'June 2025', early / mid / late with month or year, and years; null if none."""
-    low = F.lower(text)
-    number = F.lit(0)
-    name = F.regexp_extract(low, rf"\b({L.MONTHS})\b", 1)
-    for m, i in MONTH_NUMBER.items():
-        number = F.when(name == m, i).otherwise(number)
-    year = F.regexp_extract(low, r"\b((?:19|20)\d{2})\b", 1)
-    day = F.regexp_extract(low, rf"\b(?:{L.MONTHS})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?:,|\s|$)", 1)
-    part = F.regexp_extract(low, r"\b(early|mid|late)\b", 1)
-    iso = F.regexp_extract(low, r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    make = lambda y, m, d: F.date_format(F.try_make_timestamp_ntz(y.cast("int"), m, d, F.lit(0), F.lit(0), F.lit(0)), "yyyy-MM-dd")
-    in_month = F.when(part == "mid", 11).when(part == "late", 21).otherwise(1)
-    in_year = F.when(part == "mid", 5).when(part == "late", 9).otherwise(1)
-    return (
-        F.when(iso != "", iso).when((name != "") & (year != "") & (day != ""), make(year, number, F.when(day == "", 1).otherwise(day.cast("int"))))
-        .when((name != "") & (year != ""), make(year, number, in_month)).when(year != "", make(year, in_year, F.lit(1)))
-    )
+    short = w.select("qid", F.explode(F.array_distinct(F.concat(*runs))).alias("entity")).join(entities.select("entity"), "entity").select("qid", "entity")
+    long = entities.select("entity", F.split("entity", " ").alias("e")).where(F.size("e") > most_words).select("entity", F.col("e")[0].alias("first"))
+    met = w.select("qid", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.explode(F.array_distinct("w")).alias("first")).join(long, "first")
+    return short.unionByName(met.where(F.contains("t", F.concat(F.lit(" "), F.col("entity"), F.lit(" ")))).select("qid", "entity"))

@@ -20,27 +20,33 @@ def normalised_subject(raw: Column, context: Column) -> Column:
 
 
 def changes(m: DataFrame) -> DataFrame:
-    """(id, ts, kind, subject, old_fact, new_fact, p, k): every phrase of change, in order of pattern p and match k."""
-    every = None
-    rows = m.where("not directive").select("id", "ts", "content")
-    for p, (kind, category, pattern) in enumerate(L.CHANGES):
+    """(id, ts, kind, subject, old_fact, new_fact, p, k): every phrase of change, in order of pattern p and match k.
+
+    All patterns are matched in one projection, whose matches are exploded once.
+    """
+    def found(p: int, kind: str, category: str, pattern: str) -> Column:
         two = kind in ("explicit_change", "pricing")
-        groups = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2 if two else 1)).alias("b"))
-        hit = rows.where(F.col("content").rlike(pattern)).select("id", "ts", "content", F.posexplode(groups).alias("k", "g"))
-        a, b = F.trim(F.col("g.a")), F.trim(F.col("g.b"))
-        if kind == "explicit_change":
-            cols = (normalised_subject(a, F.col("content")), a, b)
-        elif kind == "pricing":
-            cols = (F.concat(F.lit("pricing_"), F.lower(b)), F.lit(None).cast("string"), a)
-        elif kind in ("location_change", "schedule_change"):
-            cols = (F.lit({"location": "office_location", "schedule": "gym_schedule"}[category]), F.lit(None).cast("string"), a)
-        elif kind == "status_change":
-            cols = (F.concat(F.lit("status_"), F.regexp_replace(F.lower(a), r"\s+", "_")), F.lit(None).cast("string"), a)
-        else:
-            cols = (F.when(normalised_subject(F.lit(""), F.col("content")) == "", F.lit("correction")).otherwise(normalised_subject(F.lit(""), F.col("content"))), F.lit(None).cast("string"), a)
-        part = hit.select("id", "ts", F.lit(kind).alias("kind"), cols[0].alias("subject"), cols[1].alias("old_fact"), cols[2].alias("new_fact"), F.lit(p).alias("p"), "k")
-        every = part if every is None else every.unionByName(part)
-    return every
+        first, second = (F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in ((1, 2) if two else (1, 1)))
+
+        def match(g: Column, k: Column) -> Column:
+            a, b, none = F.trim(g["a"]), F.trim(g["b"]), F.lit(None).cast("string")
+            if kind == "explicit_change":
+                cols = (normalised_subject(a, F.col("content")), a, b)
+            elif kind == "pricing":
+                cols = (F.concat(F.lit("pricing_"), F.lower(b)), none, a)
+            elif kind in ("location_change", "schedule_change"):
+                cols = (F.lit({"location": "office_location", "schedule": "gym_schedule"}[category]), none, a)
+            elif kind == "status_change":
+                cols = (F.concat(F.lit("status_"), F.regexp_replace(F.lower(a), r"\s+", "_")), none, a)
+            else:
+                subject = normalised_subject(F.lit(""), F.col("content"))
+                cols = (F.when(subject == "", F.lit("correction")).otherwise(subject), none, a)
+            return F.struct(F.lit(kind).alias("kind"), cols[0].alias("subject"), cols[1].alias("old_fact"), cols[2].alias("new_fact"), F.lit(p).alias("p"), k.alias("k"))
+
+        return F.when(F.col("content").rlike(pattern), F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), match))
+
+    every = F.flatten(F.filter(F.array(*(found(p, *x) for p, x in enumerate(L.CHANGES))), lambda x: x.isNotNull()))
+    return m.where("not directive").select("id", "ts", F.explode(every).alias("c")).select("id", "ts", "c.*")
 
 
 def supersessions(found: DataFrame) -> DataFrame:
@@ -50,12 +56,11 @@ def supersessions(found: DataFrame) -> DataFrame:
     A subject's first explicit change also records the old value. A following entry supersedes if
     its kind always does, or if its value differs (prices exactly, places and times in any case).
     """
-    order = ["ts", "id", "p", "k", "half"]
-    by = Window.partitionBy("subject").orderBy("ts", "id", "p", "k")
-    n = found.withColumn("n", F.row_number().over(by))
-    old = n.where("n = 1 and kind = 'explicit_change'").select("subject", F.col("old_fact").alias("fact"), "id", "ts", "kind", "p", "k", F.lit(0).alias("half"))
-    rows = n.select("subject", F.col("new_fact").alias("fact"), "id", "ts", "kind", "p", "k", F.lit(1).alias("half")).unionByName(old)
-    w = Window.partitionBy("subject").orderBy(*order)
+    w = Window.partitionBy("subject").orderBy("ts", "id", "p", "k", "half")
+    first = F.row_number().over(Window.partitionBy("subject").orderBy("ts", "id", "p", "k")) == 1
+    new = F.struct(F.col("new_fact").alias("fact"), F.lit(1).alias("half"))
+    halves = F.when(first & (F.col("kind") == "explicit_change"), F.array(F.struct(F.col("old_fact").alias("fact"), F.lit(0).alias("half")), new)).otherwise(F.array(new))
+    rows = found.select("subject", "id", "ts", "kind", "p", "k", halves.alias("h")).select("subject", "id", "ts", "kind", "p", "k", F.inline("h"))
     rows = rows.withColumn("seq", F.row_number().over(w))
     nxt = F.lead(F.struct("kind", "fact", "ts", "seq")).over(w)
     rows = rows.withColumn("nx", nxt)

@@ -113,6 +113,71 @@ def formality(m: DataFrame) -> DataFrame:
     return per.select("entity", "casual", "formal", F.when(F.col("casual") + F.col("formal") == 0, "mixed").when(r > 0.65, "casual").when(r < 0.35, "formal").otherwise("mixed").alias("formality"))
 
 
+# Words that open a greeting.
+GREETINGS = ("hey", "hi", "hello", "yo", "sup", "what's up", "good morning", "morning", "heyy", "heyyy")
+
+
+def greeting_of(content: str = "content") -> Column:
+    """The greeting that a message begins with, in two words or one; '' if it begins with none."""
+    w = F.split(F.trim(F.lower(content)), r"\s+")
+    two = F.array_join(F.slice(w, 1, 2), " ")
+    return F.when(two.isin(*GREETINGS), two).when(w[0].isin(*GREETINGS), w[0]).otherwise("")
+
+
+def greetings(m: DataFrame) -> DataFrame:
+    """(entity, greeting, n): the most frequent greeting of each sender, in order of letters on ties."""
+    per = m.where("sender <> ''").select(F.lower("sender").alias("entity"), greeting_of().alias("greeting")).where("greeting <> ''").groupBy("entity", "greeting").agg(F.count("*").alias("n"))
+    return per.groupBy("entity").agg(F.min_by("greeting", F.struct(-F.col("n"), "greeting")).alias("greeting"), F.max("n").alias("n"))
+
+
+def greeting(own: DataFrame) -> str:
+    top = greetings(own).first()
+    return top["greeting"] if top else ""
+
+
+# Words of messages that tell of preferences.
+PREFERENCES = {
+    "food": (
+        "eat|eating|ate|lunch|dinner|breakfast|brunch|restaurant|restaurants|food|cook|cooking|cooked|pizza|sushi|tacos|burger|burgers|steak|chicken|salad|ramen|pasta|sandwich|bbq|brisket|ribs|coffee|latte|espresso|tea|beer|wine|cocktail|"
+        "drinks|bar|brewery|pub|oat milk|oats|eggs|smoothie|vegan|vegetarian|omakase|charcuterie|appetizer|dessert|cuisine|dish|meal|snack|recipe|diner|cafe"
+    ),
+    "activities": (
+        "gym|run|running|ran|workout|exercise|lift|lifting|crossfit|yoga|meditation|meditate|swim|swimming|hike|hiking|bike|biking|cycling|watch|watched|watching|show|movie|film|read|reading|book|podcast|music|concert|festival|game|gaming|play|"
+        "played|golf|tennis|soccer|basketball|football|baseball|marathon|race|trail|climb|climbing|surf|surfing|ski|skiing"
+    ),
+    "fears": (
+        "worried|worries|worry|worrying|scared|scary|afraid|anxious|anxiety|nervous|panic|panicking|stress|stressed|stressful|fear|fears|terrified|what if|freaking out|freak out|can't sleep|overwhelmed|overwhelming|burnout|burn out|imposter|"
+        "imposter syndrome|doubt|doubts|uncertain|uncertainty|insecure|insecurity|chest tightness|worst case|nightmare|dread"
+    ),
+    "routines": (
+        "morning|mornings|every day|daily|routine|routines|always|usually|every morning|every night|every week|weekly|habit|habits|schedule|ritual|wake up|woke up|alarm|6am|7am|bedtime|night routine|morning routine|workout routine|every monday|every friday"
+    ),
+    "values": (
+        "important|priority|priorities|value|values|believe|believes|belief|principle|principles|decision|decided|choose|chose|choice|commit|committed|commitment|boundary|boundaries|hard stop|non-negotiable|matter|matters|care about|stand for|mission"
+    ),
+}
+
+
+def preferences(m: DataFrame) -> DataFrame:
+    """(entity, bucket, text, keywords, first_ts): what senders' messages tell of food, activities, fears, routines and values.
+
+    Texts are cut at 300 characters, texts that begin with the same 80 count once (the first by ts and id); up to five of the
+    bucket's words that occur, in their order. Directives are left out.
+    """
+    low = F.lower("content")
+    hit = F.filter(
+        F.array(*(F.struct(F.lit(b).alias("bucket"), F.slice(F.filter(F.array(*map(F.lit, ws.split("|"))), lambda w: F.contains(low, w)), 1, 5).alias("keywords")) for b, ws in PREFERENCES.items())), lambda x: F.size(x["keywords"]) > 0
+    )
+    rows = m.where("not directive and sender <> ''").select(F.lower("sender").alias("entity"), "id", "ts", F.left("content", F.lit(300)).alias("text"), F.explode(hit).alias("b")).select("entity", "id", "ts", "text", "b.*")
+    first = F.min_by(F.struct("text", "keywords", "ts"), F.struct("ts", "id"))
+    return rows.groupBy("entity", "bucket", F.left("text", F.lit(80)).alias("start")).agg(first.alias("r")).select("entity", "bucket", "r.text", "r.keywords", F.col("r.ts").alias("first_ts"))
+
+
+def preferred_people(m: DataFrame) -> DataFrame:
+    """(entity, person, message_count): whom senders write to, as spelled."""
+    return m.where("not directive and sender <> '' and recipient <> ''").groupBy(F.lower("sender").alias("entity"), F.col("recipient").alias("person")).agg(F.count("*").alias("message_count"))
+
+
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Profiles (entity, message_count, avg_length) after further messages, for use on every micro-batch."""
     both = old.select("entity", "message_count", "avg_length").unionByName(new.select("entity", "message_count", "avg_length"))

@@ -23,8 +23,8 @@ def _cap(c: Column) -> Column:
     return F.least(F.lit(1.0), c)
 
 
-def salience_features(content: str = "content", modality: str = "modality") -> dict[str, Column]:
-    """The thirteen features of a message."""
+def salience_features(content: str = "content", modality: str | None = "modality") -> dict[str, Column]:
+    """The thirteen features of a message; without ``modality`` all are chat."""
     t = F.trim(F.col(content))
     low = F.lower(t)
     bare = F.regexp_replace(low, r"^[!?.… ]+|[!?.… ]+$", "")
@@ -32,12 +32,12 @@ def salience_features(content: str = "content", modality: str = "modality") -> d
     return {
         "f_noise": bare.isin(*L.NOISE).cast("double"), "f_emoji": F.when(n > 0, _cap(_count(t, L.EMOJI) / n)).otherwise(0.0), "f_length": F.log1p(n) / 7.0,
         "f_num": F.log1p(_count(t, L.NUMBER)) / 3.0, "f_money": _cap(_count(t, L.MONEY) / 2.0), "f_date": _cap(_count(t, L.MONTH_DAY) / 2.0),
-        "f_mod": F.lower(modality).isin(*L.HIGH_SIGNAL).cast("double"), "f_nl": (F.contains(t, F.lit("\n")) & (n > 50)).cast("double"), "f_bul": t.rlike(r"(?m)^[-*•]\s").cast("double"),
+        "f_mod": F.lower(modality).isin(*L.HIGH_SIGNAL).cast("double") if modality else F.lit(0.0), "f_nl": (F.contains(t, F.lit("\n")) & (n > 50)).cast("double"), "f_bul": t.rlike(r"(?m)^[-*•]\s").cast("double"),
         "f_excl": _cap(_count(t, "!") / 3.0), "f_caps": _cap(_count(t, L.CAPITALS) / 5.0), "f_arou": _cap(_hits(bare, L.AROUSAL) / 3.0), "f_life": _cap(_hits(bare, L.LIFE_EVENTS) / 2.0),
     }
 
 
-def salience(content: str = "content", modality: str = "modality") -> Column:
+def salience(content: str = "content", modality: str | None = "modality") -> Column:
     """Logistic salience in [0, 1]; blank text has 0."""
     f = salience_features(content, modality)
     z = F.lit(L.SALIENCE_BIAS)

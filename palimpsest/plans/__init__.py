@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from palimpsest.plans import data_quality, insight, memory
+    from palimpsest.plans import data_quality, insight, memory, pipeline
 
-    return [data_quality.registry, memory.registry, insight.registry]
+    return [data_quality.registry, memory.registry, insight.registry, pipeline.registry]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicon as L, query_analysis as qa
+from palimpsest.functions.dates import first_day_column, time_window
 from palimpsest.operators import consolidation as co, fusion, ingest as ing, keyword_search as kw, profiles as pr, salience as sal
 from palimpsest.plans.memory import BM25, DOCS, MSG, WHO, with_msg
 from palimpsest.plans.registry import Registry
@@ -318,13 +321,27 @@ def entities_in_query(spark, d):
     return qa.named_entities(_questions(spark), known_entities(load_messages(spark, d)))
 
 
-@add("parse_dates", f"""with {QS}, x as (select qid, lower(query) l from qs), y as (select qid, regexp_extract(l, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1) iso, regexp_extract(l, '\\b({L.MONTHS})\\b', 1) mn, regexp_extract(l, '\\b((?:19|20)\\d{{2}})\\b', 1) yr,
-regexp_extract(l, '\\b(?:{L.MONTHS})\\s+(\\d{{1,2}})(?:st|nd|rd|th)?\\b(?:,|\\s|$)', 1) dy, regexp_extract(l, '\\b(early|mid|late)\\b', 1) pt from x),
-z as (select *, list_position(string_split('{L.MONTHS}', '|'), mn) mi from y)
-select qid, case when iso <> '' then iso when mn <> '' and yr <> '' and dy <> '' then yr || '-' || lpad(mi::varchar, 2, '0') || '-' || lpad(dy, 2, '0') when mn <> '' and yr <> '' then yr || '-' || lpad(mi::varchar, 2, '0') || case pt when 'mid' then '-11' when 'late' then '-21' else '-01' end
-when yr <> '' then yr || case pt when 'mid' then '-05' when 'late' then '-09' else '-01' end || '-01' end "day" from z""")
+@add("parse_dates", """select * from (values (0, null), (1, '2024-03-01'), (2, null), (3, null), (4, null), (5, null), (6, null), (7, null), (8, null), (9, null), (10, null), (11, '2024-09-01'), (12, '2025-06-15'), (13, '2024-03-01'),
+(14, '2024-05-06'), (15, null), (16, null), (17, null)) t(qid, "day")""")
 def parse_dates(spark, d):
-    return _questions(spark).select("qid", qa.date_reference(F.col("query")).alias("day"))
+    return _questions(spark).select("qid", first_day_column(F.col("query")).alias("day"))
+
+
+TIMES = [
+    "What changed from January 2024 to March 2024?", "notes between 2024-01-05 and 2024-02-10", "calls in June 2025", "plans in 2024", "after January 15, 2026 what happened", "before mid 2024", "as of 2024-05-01, upcoming trips", "yesterday",
+    "last 3 weeks", "last month", "the month after the launch (June 15, 2025)", "late 2024 plans", "just words", "", "next week after 2024-02-01",
+]
+
+
+@add("time_windows", """select * from (values (0, true, '2024-01-01', '2024-03-01', true, true, null), (1, true, '2024-01-05', '2024-02-10', false, false, null), (2, true, '2025-06-01', '2025-06-30', false, false, null),
+(3, true, '2024-01-01', '2024-12-31', false, false, null), (4, true, '2026-01-15', null, true, false, '2026-01-15'), (5, true, null, '2024-05-01', false, false, null), (6, true, '2024-05-01', null, true, false, '2024-05-01'),
+(7, true, '2025-07-09', '2025-07-09', true, false, null), (8, true, '2025-06-19', '2025-07-10', true, false, null), (9, true, '2025-06-10', '2025-07-10', true, false, null), (10, true, '2025-06-15', '2025-07-16', true, false, '2025-06-15'),
+(11, true, null, null, false, false, '2024-09-01'), (12, false, null, null, false, false, null), (13, false, null, null, false, false, null), (14, true, '2024-02-01', '2024-02-08', true, false, '2024-02-01'))
+t(qid, temporal, "after", "before", chronological, trajectory, reference)""")
+def time_windows(spark, d):
+    """The windows of questions, as of 10 July 2025."""
+    rows = [(i, *time_window(x, datetime.date(2025, 7, 10)).row()) for i, x in enumerate(TIMES)]
+    return spark.createDataFrame(rows, "qid int, temporal boolean, after string, before string, chronological boolean, trajectory boolean, reference string")
 
 
 @add("multi_query_merge", f"""with {MSG}, terms(qid, term) as (values (0, 'cache'), (1, 'parcel'), (2, 'invoice')), s as (select qid, id, length(content) - length(replace(lower(content), term, '')) score from msg, terms where contains(lower(content), term)),
@@ -614,7 +631,7 @@ def scent_trail(spark, d):
     return _ranked(search.scent_trail(m, "retry queue", search.hybrid(m, "retry queue", limit=20)))
 
 
-@add("entity_focused", f"""with {MSG}, docs as (select id, directive, sender, regexp_extract_all(lower(concat_ws(' ', content, sender, recipient, category, modality)), '[a-z0-9]+') t from msg), corpus as (select count(*) n, avg(len(t)) a from docs),
+@add("entity_focused", f"""with {MSG}, docs as (select id, directive, sender, regexp_extract_all(strip_accents(lower(concat_ws(' ', content, sender, recipient, category, modality))), '[\\p{{L}}\\p{{N}}]+') t from msg), corpus as (select count(*) n, avg(len(t)) a from docs),
 terms as (select * from (values ('felka'), ('brammont'), ('say'), ('budget')) x(term)), freq as (select id, term, len(list_filter(t, lambda x: x = term)) tf, len(t) dl from docs, terms where list_contains(t, term)), dfs as (select term, count(*) df from freq group by term),
 scored as (select id, sum(greatest(1e-6, ln((n - df + .5) / (df + .5))) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / a))) b from freq join dfs using (term), corpus group by id),
 best as (select id, b from scored join docs using (id) where not directive and lower(trim(sender)) = 'felka brammont' order by round(b, 9) desc, id::varchar limit 8)

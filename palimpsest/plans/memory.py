@@ -30,12 +30,12 @@ def message_lookup(spark, d):
 
 @add("messages_by_sender", with_msg(f"select id, content, ts from msg where sender = '{WHO}'"))
 def messages_by_sender(spark, d):
-    return rel.by_sender(load_messages(spark, d), WHO).select("id", "content", "ts")
+    return load_messages(spark, d, f"sender = '{WHO}'").select("id", "content", "ts")
 
 
 @add("messages_in_range", with_msg("select id, ts from msg where ts >= '2024-03-01' and ts <= '2024-06-30'"))
 def messages_in_range(spark, d):
-    return rel.in_range(load_messages(spark, d), "2024-03-01", "2024-06-30").select("id", "ts")
+    return load_messages(spark, d, "timestamp >= '2024-03-01' and timestamp <= '2024-06-30'").select("id", "ts")
 
 
 @add("distinct_senders", with_msg("select distinct sender from msg where sender <> ''"))
@@ -91,7 +91,7 @@ def page_offset(spark, d):
 
 @add("directive_list", with_msg("select id, content from msg where directive"))
 def directive_list(spark, d):
-    return load_messages(spark, d).where("directive").select("id", "content")
+    return load_messages(spark, d, "directive").select("id", "content")
 
 
 @add("metadata_json_extract", with_msg("select id, case when json_valid(metadata) then metadata ->> '$.client' end client, case when json_valid(metadata) then metadata ->> '$.tz' end tz from msg"))
@@ -155,7 +155,7 @@ def summary_explode_delete(spark, d):
 
 QUERY = "vector index of the write lock"
 TERMS = sorted(kw.query_terms(QUERY))
-DOCS = f"""docs as (select {ALL}, regexp_extract_all(lower(concat_ws(' ', content, sender, recipient, category, modality)), '[a-z0-9]+') t from msg),
+DOCS = f"""docs as (select {ALL}, regexp_extract_all(strip_accents(lower(concat_ws(' ', content, sender, recipient, category, modality))), '[\\p{{L}}\\p{{N}}]+') t from msg),
 corpus as (select count(*) n, avg(len(t)) a from docs),
 terms as (select * from (values {', '.join(f"('{t}', {q})" for t, q in kw.query_terms(QUERY).items())}) x(term, q)),
 freq as (select id, term, q, len(list_filter(t, lambda x: x = term)) tf, len(t) dl from docs, terms where list_contains(t, term)),
@@ -201,13 +201,13 @@ def bm25_index(spark, d):
     return kw.postings_search(postings, stats, QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
-@add("bm25_phrase", f"""with {MSG}, docs as (select id, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', content, sender, recipient, category, modality)), '[a-z0-9]+'), ' ') || ' ' t from msg)
+@add("bm25_phrase", f"""with {MSG}, docs as (select id, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(concat_ws(' ', content, sender, recipient, category, modality))), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' t from msg)
 select id, ((length(t) - length(replace(t, ' vector index ', ' '))) // length('vector index '))::bigint n from docs where contains(t, ' vector index ')""")
 def bm25_phrase(spark, d):
     return kw.phrase_hits(kw.build_postings(load_messages(spark, d))[0], "vector index")
 
 
-@add("term_stats", f"with {MSG}, t as (select id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) term from msg) select term, count(*) cf, count(distinct id) df from t group by term having count(distinct id) >= 50")
+@add("term_stats", f"with {MSG}, t as (select id, unnest(regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}]+')) term from msg) select term, count(*) cf, count(distinct id) df from t group by term having count(distinct id) >= 50")
 def term_stats(spark, d):
     t = load_messages(spark, d).select("id", F.explode(kw.tokens(F.col("content"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     return t.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where("df >= 50")
