@@ -56,14 +56,15 @@ def _chain(rows: Iterator[pd.DataFrame], key: str, ts: str, gap: pd.Timedelta) -
         yield f[keep]
 
 
-def debounced(events: DataFrame, key: str, ts: str, seconds: float, schema: str, forget: str = "30 days") -> DataFrame:
+def debounced(events: DataFrame, key: str, ts: str, seconds: float, schema: str, watermark: str = "10 minutes") -> DataFrame:
     """Rows at least ``seconds`` after the last accepted row of their key. In a stream the last acceptance is kept as state.
 
     The window restarts on acceptance only, so neither dropDuplicates nor a session window can say it. A
     batch is sorted within partitions and read in Arrow batches, so no key is held as a whole. A stream's
-    state of a key ends after ``forget`` of processing time without a row; ``seconds`` must be shorter.
+    rows behind the watermark are dropped, and a key's state ends when the watermark passes the time from
+    which every row is accepted anyway.
     """
-    gap, rest = pd.Timedelta(seconds=seconds), pd.Timedelta(forget)
+    gap = pd.Timedelta(seconds=seconds)
     if events.isStreaming:
 
         def stateful(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,10 +76,10 @@ def debounced(events: DataFrame, key: str, ts: str, seconds: float, schema: str,
             keep, last = _accepted(list(rows[ts]), last, gap)
             if last is not None:
                 state.update((last.to_pydatetime(),))
-            state.setTimeoutDuration(int(rest.total_seconds() * 1000))
+                state.setTimeoutTimestamp(max(int((last + gap).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
             yield rows[keep]
 
-        return events.groupBy(key).applyInPandasWithState(stateful, schema, "last timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        return events.withWatermark(ts, watermark).groupBy(key).applyInPandasWithState(stateful, schema, "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
     return events.repartition(key).sortWithinPartitions(key, ts).mapInPandas(lambda rows: _chain(rows, key, ts, gap), schema)
 
 
