@@ -4,7 +4,8 @@ A message is a case if it matches an accepted one; it is accepted otherwise, in
 Two messages match if both have MIN_WORDS distinct words, share JACCARD of all of them, and
 hold the same runs of digits equally often.
 
-* Full copies (same word set and digits) share the hash of their normalised content.
+* Full copies (same word set and digits) are found by one 128-bit hash; a class of copies
+  stands or falls together, so only its first message of a batch goes on.
 * Near copies share a signature: word sets are ordered rarest word first; two sets of
   similarity 0.8 share a word of their prefixes (n - ceil(0.8 n) + 1 words). A rare one is a
   signature by itself, common ones in pairs (see ``signatures``). A signature plays the part
@@ -14,10 +15,9 @@ hold the same runs of digits equally often.
   key, and word sets, bucketed by id. Only the batch is shuffled, into their buckets; bucket by
   bucket its rows meet those of equal key, and what is accepted is appended.
 
-Batches are resolved inside by pairs of messages with a common signature. A signature of more
-than PAIRS messages of the batch is never paired as it stands: before, the smallest open message
-of each signature decides for the others (linear work, so a group of near copies of any size
-collapses onto its first).
+Inside a batch no signature's group is ever paired with itself as a whole: first the smallest
+open message of each signature decides for the others (linear work, so a group of near copies of
+any size collapses onto its first), only what no leader decides is compared among itself.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from palimpsest.runtime import delete, folder_bytes, publish_text, read_text, sh
 MIN_WORDS = 8
 #: Words with at least 1/COMMON_WORDS of all word occurrences count as common, so there are at most COMMON_WORDS of them.
 COMMON_WORDS = 262_144
-LEADER_ROUNDS, PAIRS = 2, 64
+LEADER_ROUNDS = 2
 #: The common words are counted anew, and all signatures formed anew, when the history is REFIT times as large as when counted last or has MOST_PARTS parts.
 REFIT, MOST_PARTS = 16, 256
 #: A worker remembers the hashes of so many words.
@@ -136,7 +136,7 @@ def _matching(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("digits").alias("da"))
     b = right.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("digits").alias("db"))
     return (
-        pairs.repartition("a").dropDuplicates(["a", "b"]).join(a, "a").join(b, "b")
+        pairs.distinct().join(a, "a").join(b, "b")
         .where((F.col("da") == F.col("db")) & (9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))))
         .select("a", "b")
     )
@@ -162,69 +162,54 @@ def _keys(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role"))))
 
 
-def _collapsed(near: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
-    """(id): messages that match one that is the first of all its signatures, which is accepted therefore; linear in the signatures."""
-    open_, led = near.select("id").distinct(), None
+def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
+    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
+    # full copies: all but the first of each class follow the first
+    firsts = signed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
+    copies = store(signed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct(), scratch)
+    keys = signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role")))).join(copies.select("id"), "id", "left_anti")
+    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
+    joins = "first < last and (least = 2 or least < most)"
+    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last")).where(joins).select("key")
+    near = keys.join(shared, "key").distinct()
+    kept_parts = []
+    if history is not None:
+        past = history[0].select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
+        met = store(keys.join(past, "key").where(_PAIRED).select(F.col("id").alias("a"), "b").distinct(), scratch)
+        own = signed.join(met.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"])
+        hits = store(_matching(met, own, history[1]).groupBy("a").agg(F.min("b").alias("b")), scratch)
+        kept_parts.append(hits)
+        near = near.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
+    near = store(near, scratch)
+    sets = store(signed.join(near.select("id").distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"]), scratch)
+    open_, accepted = near.select("id").distinct(), None
     for _ in range(LEADER_ROUNDS):
         live = near.join(open_, "id", "left_semi")
-        lead = live.groupBy("key").agg(F.min("id").alias("lead"))
-        seen = store(live.join(lead, "key").select("id", "lead").distinct(), scratch)
-        first = store(seen.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id"), scratch)
-        pairs = seen.where("id <> lead").join(first.withColumnRenamed("id", "lead"), "lead", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        hits = store(_matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct(), scratch)
-        led = hits if led is None else led.union(hits)
+        led = live.join(live.groupBy("key").agg(F.min("id").alias("lead")), "key")
+        first = store(led.groupBy("id").agg(F.min(F.col("lead") == F.col("id")).alias("first")).where("first").select("id"), scratch)
+        # a leader's every signature has it as the only new accepted message: work is linear in the signatures
+        pairs = led.where("id <> lead").join(first.select(F.col("id").alias("lead")), "lead", "left_semi").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+        hits = _matching(pairs, sets, sets).select(F.col("a").alias("id")).distinct()
+        accepted = first if accepted is None else accepted.union(first)
         open_ = store(open_.join(first, "id", "left_anti").join(hits, "id", "left_anti"), scratch)
-    return store(led, scratch)
-
-
-def _settled(links: DataFrame, scratch: list[str]) -> DataFrame | None:
-    """(a): the messages of ``links`` (a, b, firm) that match an accepted one; ``firm`` says that b is of the history.
-
-    Whoever has no open link is accepted and turns those linked to it into cases, so each round decides
-    at least the smallest open message.
-    """
-    out, open_ = None, links
-    while True:
-        later = open_.select(F.col("a").alias("b"), F.lit(True).alias("waits")).distinct()
-        told = open_.join(later, "b", "left").select("a", "b", (F.col("firm") | F.col("waits").isNull()).alias("free"))
-        told = told.join(told.groupBy("a").agg(F.max("free").alias("out")), "a")
-        told = store(told, scratch)
-        now = told.where("out").select("a").distinct()
-        out = now if out is None else out.union(now)
-        rest = told.where("not out and not free")
-        if rest.isEmpty():
-            return out
-        open_ = rest.join(now.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", F.lit(False).alias("firm"))
-
-
-def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
-    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
-    sets, every = signed.select("id", "digits", "words").dropDuplicates(["id"]), _keys(signed)
-    counts = every.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
-    led = hits = None
-    if not counts.where(F.col("n") > PAIRS).isEmpty():
-        near = store(every.join(counts.select("key"), "key").distinct(), scratch)
-        if history is not None:
-            met = _matching(_pairs(every, history[0]), sets, history[1])
-            hits = store(met.groupBy("a").agg(F.min("b").alias("b")), scratch)
-            every = every.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
-            near = near.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
-        led = _collapsed(near, sets, scratch)
-        every = every.join(led, "id", "left_anti")
-    shared = every.repartition("key").join(counts.select("key"), "key")
-    links = _matching(_pairs(shared, shared), sets, sets).withColumn("firm", F.lit(False))
-    if history is not None and hits is None:
-        links = links.unionByName(_matching(_pairs(every.repartition("key"), history[0]), sets, history[1]).withColumn("firm", F.lit(True)))
-    links = store(links, scratch)
-    out = _settled(links, scratch)
-    gone = out.select(F.col("a").alias("b"))
-    kept = links.join(out, "a", "left_semi").join(gone.withColumn("gone", F.lit(True)), "b", "left").where("firm or gone is null").select("a", "b")
-    if hits is not None:
-        kept = kept.unionByName(hits)
-    if led is not None:  # their smallest accepted match, over all their signatures
-        gone = gone.union(led)
-        kept = kept.unionByName(_matching(_pairs(near.join(led, "id", "left_semi"), near.join(gone.select(F.col("b").alias("id")), "id", "left_anti")), sets, sets))
-    cases = store(kept.groupBy(F.col("a").alias("duplicate_id")).agg(F.min("b").alias("kept_id")).select("kept_id", "duplicate_id"))
+    live = near.join(open_, "id", "left_semi")
+    links = store(_matching(_pairs(live, live), sets, sets), scratch)
+    # whoever has no open link is accepted and turns those linked to it into cases; each round decides at least the smallest open message
+    while not open_.isEmpty():
+        free = store(open_.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), scratch)
+        out = links.join(free.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        accepted = accepted.union(free)
+        still = store(open_.join(free, "id", "left_anti").join(out, "id", "left_anti"), scratch)
+        links = store(links.join(still.withColumnRenamed("id", "a"), "a", "left_semi").join(still.withColumnRenamed("id", "b"), "b", "left_semi"), scratch)
+        open_ = still
+    accepted = store(accepted, scratch)
+    # each case's smallest accepted match, over all its signatures
+    kept = _matching(_pairs(near.join(accepted, "id", "left_anti"), near.join(accepted, "id", "left_semi")), sets, sets).groupBy("a").agg(F.min("b").alias("b"))
+    for part in kept_parts:
+        kept = kept.unionByName(part)
+    kept = store(kept, scratch)
+    followers = copies.join(kept.withColumnRenamed("a", "rep"), "rep", "left").select(F.coalesce("b", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
+    cases = store(followers.unionByName(kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id"))).distinct())
     return Resolution(cases, signed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"]))
 
 

@@ -42,8 +42,8 @@ NAMES = {
 # Frequent function words, which start the cleaning of the training labels.
 FUNCTION_WORDS = {
     "en": "the of and to is was that it for with this are have had they when where who because which while".split(), "de": "der die das und ist nicht mit ein eine zu den von auf dem wir sich wird auch noch was er sie".split(),
-    "fr": "le les des et est une dans pour qui pas sur avec il elle nous du sont cette la en que ce".split(), "es": "el los las una por con para del se y lo su fue está pero más este la en que no un".split(),
-    "pt": "o os um uma não em com do da dos na ao foi mas mais ele ela você por que para no se".split(), "nl": "het een van dat niet op te voor zijn er aan wij ze naar ook nog wordt deze die was door en is de".split(),
+    "fr": "le les des et est une dans pour qui pas sur avec il elle nous du sont cette la en que ce un de je au".split(), "es": "el los las una por con para del se y lo su fue está pero más este la en que no un de".split(),
+    "pt": "o os um uma não em com do da dos na ao foi mas mais ele ela você por que para no se de".split(), "nl": "het een van dat niet op te voor zijn er aan wij ze naar ook nog wordt deze die was door en is de".split(),
 }
 _BASE, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -223,8 +223,8 @@ def fit(documents: DataFrame, folder: str = TOKENIZERS) -> Model:
 def _sentences(labelled: list[tuple[str, str]]) -> list[tuple[int, Counter]]:
     """(language, words) of all sentences. Labels are wrong for some documents and for parts of mixed ones, so the sentences outvote them.
 
-    A naive Bayes model of whole words is fitted to the sentences that function words tell, and labels each
-    sentence anew, CLEANED times; the language of its document speaks for a sentence by PRIOR nats.
+    Function words tell the first language of a sentence, or else that of its document; the label counts where
+    they say nothing at all. A naive Bayes model of whole words is fitted to that and labels each sentence anew, CLEANED times; the language of its document speaks for a sentence by PRIOR nats.
     """
     docs = [(LANGS.index(lang), [c for x in _BREAK.split(_ROLE.sub("", text)) if (c := Counter(text_words(x)))]) for lang, text in labelled]
     now = [(lang, c) for lang, cs in docs for c in cs]
@@ -236,14 +236,15 @@ def _sentences(labelled: list[tuple[str, str]]) -> list[tuple[int, Counter]]:
     mine = np.array([k for k, (_, cs) in enumerate(docs) for _ in cs])
     told = np.array([[sum(c[w] for w in ws) for ws in FUNCTION_WORDS.values()] for _, c in now])
     top = np.sort(told, axis=1)
-    said, first = np.array([lang for lang, _ in now]), told.argmax(1)
-    agree = told[np.arange(len(said)), said] == top[:, -1]  # no language has more function words than that of the label
-    labels = np.where(agree, said, np.where(top[:, -1] - top[:, -2] >= 2, first, -1))
+    by_doc = np.zeros((len(docs), len(LANGS)))
+    np.add.at(by_doc, mine, told)
+    main = np.where(by_doc.max(1) > 0, by_doc.argmax(1), [lang for lang, _ in docs])
+    # a sentence that few function words tell begins with the language of its document
+    labels = np.where(top[:, -1] - top[:, -2] >= 2, told.argmax(1), main[mine])
     for _ in range(CLEANED):
         counts = np.zeros((len(number), len(LANGS)))
         for lang, (ws, ns) in zip(labels, at):
-            if lang >= 0:
-                counts[ws, lang] += ns
+            counts[ws, lang] += ns
         logs = np.log(counts / np.maximum(counts.sum(0), 1) + 1e-5)  # a word that no language has speaks for none
         scores = np.array([ns @ logs[ws] for ws, ns in at])
         whole = np.zeros((len(docs), len(LANGS)))

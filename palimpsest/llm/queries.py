@@ -102,20 +102,20 @@ def _index_folder(spark) -> str:
 
 @registry.add("p1_found")
 def p1_found(spark, folder):
-    """The history as one load, then the last batch, against the index of everything accepted before it."""
-    from palimpsest.llm.dedup import in_batches
+    """All messages as one batch, the first load of an index."""
+    from palimpsest.llm.dedup import resolve
 
-    rows = table(spark, folder, "messages")
-    last = rows.agg(F.max("batch_no")).first()[0]
-    return in_batches(rows.withColumn("late", (F.col("batch_no") == F.lit(last)).cast("int")), _index_folder(spark), "late")
+    return resolve(table(spark, folder, "messages")).cases
 
 
 @registry.add("p1_incremental")
 def p1_incremental(spark, folder):
-    """The same cases, all batches of arrival one after the other."""
+    """The same cases through the index: the history as one load, then the last batch against all accepted before it."""
     from palimpsest.llm.dedup import in_batches
 
-    return in_batches(table(spark, folder, "messages"), _index_folder(spark))
+    rows = table(spark, folder, "messages")
+    last = rows.agg(F.max("batch_no")).first()[0]
+    return in_batches(rows.withColumn("late", (F.col("batch_no") == F.lit(last)).cast("int")), _index_folder(spark), "late")
 
 
 @registry.add("p7_found")
