@@ -500,16 +500,19 @@ def streamed_tumbling(spark, d):
     return _through_stream(spark, d, "tumbling", lambda e: st.tumbling(e, "ts", "1 hour", ["event_type"], "10 minutes").select(F.unix_seconds("window.start").alias("start_s"), "event_type", "n"))
 
 
-@add("streamed_debounce")
+DEBOUNCE = """with recursive e as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) n from events),
+w as (select user_id, ts, event_id, n, ts last, true ok from e where n = 1 union all select e.user_id, e.ts, e.event_id, e.n, case when e.ts - w.last >= interval 2 hours then e.ts else w.last end, e.ts - w.last >= interval 2 hours from w join e on e.user_id = w.user_id and e.n = w.n + 1)
+select event_id, user_id from w where ok"""
+
+
+@add("streamed_debounce", DEBOUNCE)
 def streamed_debounce(spark, d):
     """Accepted events of each user, two hours apart at least, with the last acceptance as state."""
     kind = "event_id bigint, ts timestamp, user_id bigint"
     return _through_stream(spark, d, "debounce", lambda e: st.debounced(e.select("event_id", "ts", "user_id"), "user_id", "ts", 7_200, kind)).select("event_id", "user_id")
 
 
-@add("debounce", """with recursive e as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) n from events),
-w as (select user_id, ts, event_id, n, ts last, true ok from e where n = 1 union all select e.user_id, e.ts, e.event_id, e.n, case when e.ts - w.last >= interval 2 hours then e.ts else w.last end, e.ts - w.last >= interval 2 hours from w join e on e.user_id = w.user_id and e.n = w.n + 1)
-select event_id, user_id from w where ok""")
+@add("debounce", DEBOUNCE)
 def debounce(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
     return st.debounced(e, "user_id", "ts", 7_200, "event_id bigint, ts timestamp, user_id bigint").select("event_id", "user_id")
