@@ -77,11 +77,8 @@ def test_pipeline_adds_updates_and_skips(spark, tmp_path):
     assert [(r["fid"], r["id"]) for r in near.collect()] == [(7, 2)]
 
 
-def embed(texts):
-    return [[float(len(t)), float(t.count("a") + 1), float(t.count("e"))] for t in texts]
-
-
 def test_store_forgets_what_it_derived(spark, tmp_path):
+    embed = lambda texts: [[float(len(t)), float(t.count("a") + 1), float(t.count("e"))] for t in texts]  # noqa: E731  travels to the workers by value
     m = Memory(spark, str(tmp_path / "m"), embed, "len")
     m.load(spark.createDataFrame([(1, "a café near the cache", "Ann", "Bob"), (2, "the indexes", "Bob", ""), (3, "don't index it", "Cy", "")], "id bigint, content string, sender string, recipient string"))
     m.build_vectors()
