@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicon as L
 
 BUCKETS, SIZES = 256, (3, 4, 5)
+#: A task remembers the buckets of GRAM_SLOTS grams, takes ROWS texts and STRETCH characters at a time and holds the sums of SENDERS senders.
+GRAM_SLOTS, ROWS, STRETCH, SENDERS = 1 << 20, 1_024, 1 << 18, 4_096
 
 
 def profiles(m: DataFrame) -> DataFrame:
@@ -48,16 +55,82 @@ def style_grams(rows: DataFrame, keep: list[str], text: str = "content") -> Data
     return every.select(*keep, F.conv(F.substring(F.md5("g"), 1, 2), 16, 10).cast("int").alias("bucket")).groupBy(*keep, "bucket").agg(F.count("*").alias("c"))
 
 
+class _Buckets:
+    """Buckets of character grams, hashed once and remembered in a table of one gram a slot; grams are compared whole."""
+
+    def __init__(self) -> None:
+        self.low, self.high, self.bucket = np.zeros(GRAM_SLOTS, np.uint64), np.zeros(GRAM_SLOTS, np.uint64), np.zeros(GRAM_SLOTS, np.uint8)
+
+    def of(self, codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The buckets of the grams of n code points that begin at ``at``; a key holds code points from 1 on in 21 bits each."""
+        c = [codes[at + k].astype(np.uint64) + np.uint64(1) for k in range(n)]
+        low, high = c[0] | c[1] << np.uint64(21) | c[2] << np.uint64(42), np.zeros(len(at), np.uint64)
+        for k in range(3, n):
+            high |= c[k] << np.uint64(21 * (k - 3))
+        slot = (low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - GRAM_SLOTS.bit_length() + 1)
+        out, open_ = self.bucket[slot], np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
+        while len(open_):  # of the unknown grams of one slot one is hashed in each round
+            _, first = np.unique(slot[open_], return_index=True)
+            new = open_[first]
+            grams = codes[at[new][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le")
+            self.low[slot[new]], self.high[slot[new]] = low[new], high[new]
+            self.bucket[slot[new]] = [hashlib.md5(grams[i : i + n].encode(), usedforsecurity=False).digest()[0] for i in range(0, len(grams), n)]
+            known = (self.low[slot[open_]] == low[open_]) & (self.high[slot[open_]] == high[open_])
+            out[open_[known]] = self.bucket[slot[open_[known]]]
+            open_ = open_[~known]
+        return out
+
+
+def _gram_counts(texts: list[str], buckets: _Buckets) -> np.ndarray:
+    """Counts of the buckets of each text's grams, one row for each text."""
+    length = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    row = np.repeat(np.arange(len(texts)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters from here to the text's end
+    counts = np.zeros(len(texts) * BUCKETS, np.int64)
+    for begin in range(0, len(codes), STRETCH):
+        for n in SIZES:
+            at = begin + np.flatnonzero(left[begin : begin + STRETCH] >= n)
+            counts += np.bincount(row[at] * BUCKETS + buckets.of(codes, at, n), minlength=len(counts))
+    return counts.reshape(-1, BUCKETS)
+
+
+def _style_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, bucket, v) from (entity, t): sums of the texts' unit vectors, handed on when there are more than SENDERS senders."""
+    buckets, place, sums = _Buckets(), {}, np.zeros((SENDERS + ROWS, BUCKETS))
+
+    def held() -> pa.RecordBatch:
+        e, bucket = np.nonzero(sums[: len(place)])
+        names = pa.array(list(place), pa.string()).take(pa.array(e))
+        return pa.RecordBatch.from_arrays([names, pa.array(bucket.astype(np.int32)), pa.array(sums[e, bucket])], ["entity", "bucket", "v"])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
+            counts = _gram_counts(b.column(1).to_pylist(), buckets).astype(float)
+            norm = np.sqrt((counts * counts).sum(1))
+            for r, entity in enumerate(b.column(0).to_pylist()):
+                if norm[r]:
+                    sums[place.setdefault(entity, len(place))] += counts[r] / norm[r]
+            if len(place) > SENDERS:
+                yield held()
+                place.clear()
+                sums[:] = 0
+    if place:
+        yield held()
+
+
 def style_vectors(m: DataFrame) -> DataFrame:
     """(entity, bucket, value): the mean of the senders' unit style vectors, sparse and of length 1.
 
-    Grams are counted before the shuffle; a message's norm is over its own buckets only.
+    The grams are those of ``style_grams``, counted within the scan; only the senders' sums are shuffled. A message's norm is over
+    its own buckets only.
     """
-    per = style_grams(m.where("sender <> '' and trim(content) <> ''").withColumn("entity", F.lower("sender")), ["id", "entity"])
-    norms = per.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    mean = per.join(norms, "id").groupBy("entity", "bucket").agg(F.sum(F.col("c") / F.col("norm")).alias("v"))
-    length = mean.groupBy("entity").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    return mean.join(length, "entity").select("entity", "bucket", F.round(F.col("v") / F.col("len"), 6).alias("value"))
+    text = F.regexp_replace(F.lower(F.trim("content")), r"\s+", " ")
+    t = m.where("sender <> '' and trim(content) <> ''").select(F.lower("sender").alias("entity"), text.alias("t"))
+    mean = t.mapInArrow(_style_sums, "entity string, bucket int, v double").groupBy("entity", "bucket").agg(F.sum("v").alias("v"))
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("entity")))  # at most BUCKETS rows
+    return mean.select("entity", "bucket", F.round(F.col("v") / length, 6).alias("value"))
 
 
 def style_similarity(vectors: DataFrame, entity: str) -> DataFrame:
