@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicon as L
+from palimpsest.runtime import store
 
 BUCKETS, SIZES = 256, (3, 4, 5)
 #: A task remembers the buckets of GRAM_SLOTS grams, takes ROWS texts and STRETCH characters at a time and holds the sums of SENDERS senders.
@@ -134,7 +135,8 @@ def style_vectors(m: DataFrame) -> DataFrame:
 
 
 def style_similarity(vectors: DataFrame, entity: str) -> DataFrame:
-    """(entity, cosine) of every entity's style to that of one."""
+    """(entity, cosine) of every entity's style to that of one. The vectors are formed once and kept for both sides."""
+    vectors = store(vectors)
     one = vectors.where(F.col("entity") == entity.lower()).select("bucket", F.col("value").alias("w"))  # at most BUCKETS rows
     return vectors.join(F.broadcast(one), "bucket").groupBy("entity").agg(F.round(F.sum(F.col("value") * F.col("w")), 4).alias("cosine"))
 

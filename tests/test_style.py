@@ -45,3 +45,16 @@ def test_style_vectors_without_a_row_for_each_gram(spark, monkeypatch):
     for (e, _), v in sums.items():
         length[e] += v * v
     assert sums.keys() == want.keys() and all(abs(v / math.sqrt(length[k[0]]) - want[k]) < 1e-9 for k, v in sums.items())
+
+
+def test_style_similarity_forms_the_vectors_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("ann", 1, 0.6), ("ann", 2, 0.8), ("bo", 2, 1.0), ("cy", 3, 1.0)], "entity string, bucket int, value double")
+    out = pr.style_similarity(rows.mapInArrow(count, rows.schema), "Ann").collect()
+    assert {(r["entity"], r["cosine"]) for r in out} == {("ann", 1.0), ("bo", 0.8)} and seen.value == 4
