@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import encoding, ingest as ing, keyword_search as kw
+from palimpsest.operators import encoding, ingest as ing
+from palimpsest.operators.nearest_texts import nearest_texts
 from palimpsest.runtime import store
 
 NEIGHBOURS = 10
@@ -16,15 +17,9 @@ NEIGHBOURS = 10
 def neighbours(facts: DataFrame, docs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(fid, id, content, rank): the k stored texts (id, content) with most weight of words in common with each fact (fid, fact).
 
-    Facts and texts meet on their words, rare words weigh more; ties by id as text. The best k of a fact are kept before the shuffle.
+    Rare words weigh more; ties by id as text. How they are found, see ``nearest_texts``.
     """
-    words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(kw.tokens(F.col(text)))).alias("term"))
-    posting = words(docs, "id", "content")
-    weight = posting.groupBy("term").agg(F.count("*").alias("df")).select("term", (1 / F.log1p(F.col("df") + 1)).alias("w"))
-    met = words(facts, "fid", "fact").join(weight, "term").join(posting, "term").groupBy("fid", "id").agg(F.round(F.sum("w"), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("score"), F.col("id").cast("string")))
-    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(docs.select("id", "content"), "id").select("fid", "id", "content", "rank")
+    return nearest_texts(facts, docs, k).join(docs.select("id", "content"), "id").select("fid", "id", "content", "rank")
 
 
 def user_facts(turns: DataFrame) -> DataFrame:
