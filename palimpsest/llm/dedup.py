@@ -9,8 +9,8 @@ hold the same runs of digits equally often.
 * Near copies share a signature: word sets are ordered rarest word first; two sets of
   similarity 0.8 share a word of their prefixes (n - ceil(0.8 n) + 1 words). A rare one is a
   signature by itself, common ones in pairs (see ``signatures``). A signature plays the part
-  of a paragraph hash for messages of one paragraph; coverage is then checked exactly. The
-  hash of the content is one more signature.
+  of a paragraph hash for messages of one paragraph; coverage is then checked exactly. Full
+  copies share all signatures, and have at least one.
 * History (``DedupIndex``) is two bucketed tables of accepted messages: signatures, bucketed by
   key, and word sets, bucketed by id. Only the batch is shuffled, into their buckets; bucket by
   bucket its rows meet those of equal key, and what is accepted is appended.
@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import words
@@ -42,86 +43,154 @@ COMMON_WORDS = 262_144
 LEADER_ROUNDS = 2
 #: The common words are counted anew, and all signatures formed anew, when the history is REFIT times as large as when counted last or has MOST_PARTS parts.
 REFIT, MOST_PARTS = 16, 256
-#: A worker remembers the hashes of so many words.
-CACHE_WORDS = 1_000_000
-_DIGITS = re.compile(r"[0-9]+")
+#: A key matters if it joins two messages (role 2), or one with fewer rare words and one with more.
+_JOINS = "first < last and (least = 2 or least < most)"
 PARSED = "id bigint, h binary, digits bigint, words array<int>"
-SIGNED = f"{PARSED}, keys array<bigint>, roles array<tinyint>"
+KEYS = "id bigint, key bigint, role tinyint"
+#: Texts of so many characters are parsed at once, and about so many keys formed at once.
+AT_ONCE = 1 << 24
+KEYS_AT_ONCE = 1 << 20
+#: What remains of the bytes of a text: its words, if it is ASCII, and its digits.
+_WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
+_DIGIT_BYTES = bytes(c if 48 <= c < 58 else 32 for c in range(256))
+
+
+def _pieces(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Runs of rows with AT_ONCE characters, or one longer row."""
+    own, size = [], 0
+    for r in rows:
+        if own and size + len(r[1]) > AT_ONCE:
+            yield own
+            own, size = [], 0
+        own.append(r)
+        size += len(r[1])
+    yield own
+
+
+def _parsed(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+    """(id, class hash, digits hash, sorted word hashes) of the texts with enough words."""
+    raw = [t.encode() for _, t in rows]
+    # `words` of ASCII is a matter of bytes; other texts go through it
+    plain = pa.array([r.translate(_WORD_BYTES) if r.isascii() else " ".join(words(t)).encode() for r, (_, t) in zip(raw, rows)], pa.string())
+    split = pc.ascii_split_whitespace(plain)
+    coded = split.values.dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    narrow = np.fromiter((xxhash.xxh32_intdigest(w) for w in names), np.int64, len(names))
+    wide = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
+    real = np.fromiter((w != "" for w in names), bool, len(names))
+    code, at = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), np.diff(split.offsets.to_numpy()))
+    keep = real[code]
+    pairs = np.sort((at[keep] << 32) | code[keep])
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    at, code = pairs >> 32, pairs & 0xFFFFFFFF
+    n = np.bincount(at, minlength=len(rows))
+    keep = (n >= MIN_WORDS)[at]
+    at, code = at[keep], code[keep]
+    order = np.argsort((at << 32) | narrow[code])
+    code, kept = code[order], np.flatnonzero(n >= MIN_WORDS)
+    ends = np.concatenate([[0], np.cumsum(n[kept])])
+    content, digits, h = wide[code].tobytes(), [], []
+    for k, a, b in zip(kept.tolist(), (8 * ends[:-1]).tolist(), (8 * ends[1:]).tolist()):
+        sig = b" ".join(sorted(raw[k].translate(_DIGIT_BYTES).split()))
+        digits.append(xxhash.xxh3_64_intdigest(sig) - (1 << 63))
+        h.append(xxhash.xxh3_128_digest(sig + b"\n" + content[a:b]))
+    own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((narrow[code] - (1 << 31)).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in kept.tolist()], pa.int64()), pa.array(h, pa.binary()), pa.array(digits, pa.int64()), own], ["id", "h", "digits", "words"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for rows in _pieces([r for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if r[1]]):
+            yield _parsed(rows)
+
+
+_PRIME_1, _PRIME_2, _PRIME_5 = (np.array([p], np.uint64) for p in (11400714785074694791, 14029467366897019727, 2870177450012600261))
+
+
+def _lane(x: np.ndarray) -> np.ndarray:
+    """Python's hash of whole numbers."""
+    size = (np.abs(x).view(np.uint64) % np.uint64((1 << 61) - 1)).view(np.int64)
+    own = np.where(x < 0, -size, size)
+    return np.where(own == -1, -2, own).view(np.uint64)
+
+
+def tuple_hashes(*columns: np.ndarray) -> np.ndarray:
+    """Python's hash of each tuple of whole numbers; it is not salted, so all workers and runs agree on it."""
+    acc = _PRIME_5
+    for x in columns:
+        acc = acc + _lane(x) * _PRIME_2
+        acc = ((acc << np.uint64(31)) | (acc >> np.uint64(33))) * _PRIME_1
+    acc = acc + np.uint64(len(columns) ^ (2870177450012600261 ^ 3527539))
+    return np.where(acc == np.uint64((1 << 64) - 1), np.uint64(1546275796), acc).view(np.int64)
+
+
+def signatures(ends: np.ndarray, own: np.ndarray, digits: np.ndarray, common: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the message, key, role) of messages whose sorted words are ``own``, from ``ends[k]`` to ``ends[k + 1]``.
 
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh32_intdigest(word) - (1 << 31)
-        return h
-
-
-def _signed(h: bytes, own: list[int], digits: int, common: dict[int, int]) -> tuple[list[int], list[int]]:
-    """Keys and roles of one message: the hash of its content and its signatures."""
-    found = [(int.from_bytes(h[:8], "little", signed=True), 2), *signatures(own, digits, common)]
-    return [k for k, _ in found], [r for _, r in found]
-
-
-def _reader(bc):
-    """(id, class hash, digits hash, sorted word hashes) of the messages with enough words, with keys and roles if the common words are known."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, common = _Hashes(), bc.value if bc is not None else None
-        for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not text:
-                    continue
-                ws = set(words(text))
-                if len(ws) < MIN_WORDS:
-                    continue
-                sig = " ".join(sorted(_DIGITS.findall(text)))
-                own = sorted([hashes[w] for w in ws])
-                digits, h = xxhash.xxh3_64_intdigest(sig) - (1 << 63), xxhash.xxh3_128_digest(sig + "\n" + " ".join(sorted(ws)))
-                rows.append((i, h, digits, own) if common is None else (i, h, digits, own, *_signed(h, own, digits, common)))
-            n = 4 if common is None else 6
-            cols = list(zip(*rows)) if rows else [[]] * n
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int8())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "h", "digits", "words", "keys", "roles"][:n])
-
-    return parse
+    The first word that two matching messages share, rarest first, is in both prefixes. If it is
+    rare it is a key by itself (role 2: all pairs count). If it is common, they share no rare word
+    at all and a second common word; then the similarity bounds the rare words of the partner
+    by 1.25 * (number of common words) - (number of words), so the key also holds both numbers of
+    rare words, and a pair counts between the side with fewer (role 0) and with more (role 1) only.
+    ``common`` is sorted, ``often`` has the number of messages of each.
+    """
+    n, own = np.diff(ends).astype(np.int64), own.astype(np.int64)
+    at = np.repeat(np.arange(len(n)), n)
+    place = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+    frequent = common[place] == own if len(common) else np.zeros(len(own), bool)
+    prefix = n - (4 * n + 4) // 5 + 1
+    rare, lone = at[~frequent], own[~frequent]
+    r = np.bincount(rare, minlength=len(n))
+    first = np.arange(len(rare)) - (np.cumsum(r) - r)[rare] < prefix[rare]
+    yield rare[first], tuple_hashes(lone[first], digits[rare[first]]), np.full(int(first.sum()), 2, np.int8)
+    # pairs of the rarest common words, for messages whose rare words don't fill the prefix
+    few = r < prefix
+    keep = frequent & few[at]
+    at, own, count = at[keep], own[keep], often[place[keep]]
+    order = np.lexsort((own, count, at))
+    own, start = own[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(n)))])
+    wide, most = prefix + 1 - r, (5 * (n - r)) // 4 - n
+    shapes = np.flatnonzero(few & (most >= 0))
+    for width, last in np.unique(np.stack([wide[shapes], most[shapes]]), axis=1).T.tolist():
+        left, right = np.triu_indices(width, 1)
+        alike, step = shapes[(wide[shapes] == width) & (most[shapes] == last)], max(1, KEYS_AT_ONCE // len(left))
+        for low in range(0, len(alike), step):
+            some = alike[low : low + step]
+            near = own[start[some][:, None] + np.arange(width)]
+            rows, a, c = np.repeat(some, len(left)), near[:, left].ravel(), near[:, right].ravel()
+            d, mine = digits[rows], r[rows]
+            for q in range(last + 1):
+                yield rows, tuple_hashes(a, c, d, np.minimum(mine, q), np.maximum(mine, q)), np.where(mine == q, 2, np.where(mine < q, 0, 1)).astype(np.int8)
 
 
 def _signer(bc):
-    """Adds keys and roles to parsed rows."""
+    """The keys of parsed rows (id, digits, words)."""
+
+    def batch(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts), (pa.int64(), pa.int64(), pa.int8()))], ["id", "key", "role"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = bc.value
         for b in batches:
-            rows = [_signed(h, own, digits, bc.value) for h, digits, own in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int8()))], ["id", "h", "digits", "words", "keys", "roles"]
-            )
+            ids, digits, own = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            ends, parts, size = own.offsets.to_numpy(), [], 0
+            for k, key, role in signatures(ends - ends[:1], own.flatten().to_numpy(), digits, common, often):
+                parts.append((ids[k], key, role))
+                size += len(k)
+                if size > KEYS_AT_ONCE:
+                    yield batch(parts)
+                    parts, size = [], 0
+            if parts:
+                yield batch(parts)
 
     return sign
 
 
-def signatures(words: list[int], digits: int, common: dict[int, int]) -> list[tuple[int, int]]:
-    """(key, role) of one message.
-
-    The first word that two matching messages share, rarest first, is in both prefixes. If it is
-    rare it is a key by itself (role 2: all pairs count). If it is common, they share no rare word
-    at all and a second common word; then the similarity bounds the rare words of the partner
-    by 1.25 * (number of common words) - (number of words), so the key also holds both numbers of
-    rare words, and a pair counts between the side with fewer (role 0) and with more (role 1) only.
-    Python's hash of a tuple of whole numbers is not salted: all workers and runs agree on it.
-    """
-    n = len(words)
-    least = -(-4 * n // 5)
-    rare = [w for w in words if w not in common]
-    r = len(rare)
-    out = [(hash((w, digits)), 2) for w in rare[: n - least + 1]]
-    if r <= n - least:
-        frequent = sorted((common[w], w) for w in words if w in common)[: n - least + 2 - r]
-        for k, (_, a) in enumerate(frequent[: n - least + 1 - r]):
-            for _, c in frequent[k + 1 :]:
-                out += [(hash((a, c, digits, min(r, q), max(r, q))), 2 if q == r else 0 if r < q else 1) for q in range((5 * (n - r)) // 4 - n + 1)]
-    return out
+def _keys(parsed: DataFrame, common: dict[int, int]) -> DataFrame:
+    """(id, key, role): the signatures of parsed rows."""
+    every = sorted(common.items())
+    bc = parsed.sparkSession.sparkContext.broadcast((np.array([w for w, _ in every], np.int64), np.array([k for _, k in every], np.int64)))
+    return parsed.select("id", "digits", "words").mapInArrow(_signer(bc), KEYS)
 
 
 def common_words(parsed: DataFrame) -> dict[int, int]:
@@ -152,36 +221,44 @@ def _pairs(live: DataFrame, other: DataFrame) -> DataFrame:
 
 
 class Resolution:
-    """Outcome of one batch: ``cases`` (kept_id, duplicate_id), and the signed rows of what was accepted."""
+    """Outcome of one batch: ``cases`` (kept_id, duplicate_id), and the parsed rows of what was accepted if they are still there."""
 
-    def __init__(self, cases: DataFrame, accepted: DataFrame):
+    def __init__(self, cases: DataFrame, accepted: DataFrame | None):
         self.cases, self.accepted = cases, accepted
 
 
-def _keys(signed: DataFrame) -> DataFrame:
-    return signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role"))))
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows of the keys that matter. One shuffle by key."""
+    by = Window.partitionBy("key")
+    spans = [f("role").over(by).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))] + [f("id").over(by).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))]
+    return keys.select("*", *spans).where(_JOINS).select("id", "key", "role")
+
 
+def _resolve(parsed: DataFrame, common: dict[int, int], history: tuple[DataFrame, DataFrame] | None, scratch: list[str], once: bool = False) -> Resolution:
+    """Decide a batch of parsed rows against a history of (signatures, word sets); the rows are a stored table.
 
-def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scratch: list[str]) -> Resolution:
-    """Decide a batch of signed rows against a history of (signatures, word sets); the rows are a stored table."""
+    With ``once`` everything in ``scratch`` goes as soon as it isn't needed, also the parsed rows.
+    """
     # full copies: all but the first of each class follow the first
-    firsts = signed.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
-    copies = store(signed.select("id", "h").join(firsts, "h").where("id <> rep").select("id", "rep").distinct(), scratch)
-    keys = signed.select("id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("roles").alias("role")))).join(copies.select("id"), "id", "left_anti")
-    # a key matters if it joins two messages (role 2), or one with fewer rare words and one with more
-    joins = "first < last and (least = 2 or least < most)"
-    shared = keys.groupBy("key").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("id").alias("first"), F.max("id").alias("last")).where(joins).select("key")
-    near = keys.join(shared, "key").distinct()
+    copies = store(parsed.select("id", F.min("id").over(Window.partitionBy("h")).alias("rep")).where("id <> rep").distinct(), scratch)
+    keys = _keys(parsed, common)
+    if history is not None:
+        keys = store(keys.join(copies.select("id"), "id", "left_anti"), scratch)
+        near = _shared(keys).distinct()
+    else:  # the copies' keys are few beside the keys that nothing shares, so these go first
+        near = _shared(_shared(keys).join(copies.select("id"), "id", "left_anti")).distinct()
     kept_parts = []
     if history is not None:
         past = history[0].select("key", F.col("id").alias("b"), F.col("role").alias("role_b"))
         met = store(keys.join(past, "key").where(_PAIRED).select(F.col("id").alias("a"), "b").distinct(), scratch)
-        own = signed.join(met.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"])
+        own = parsed.join(met.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"])
         hits = store(_matching(met, own, history[1]).groupBy("a").agg(F.min("b").alias("b")), scratch)
         kept_parts.append(hits)
         near = near.join(hits.select(F.col("a").alias("id")), "id", "left_anti")
     near = store(near, scratch)
-    sets = store(signed.join(near.select("id").distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"]), scratch)
+    sets = store(parsed.join(near.select("id").distinct(), "id", "left_semi").select("id", "digits", "words").dropDuplicates(["id"]), scratch)
+    if once:
+        delete(parsed.sparkSession, scratch.pop(0))
     open_, accepted = near.select("id").distinct(), None
     for _ in range(LEADER_ROUNDS):
         live = near.join(open_, "id", "left_semi")
@@ -210,20 +287,18 @@ def _resolve(signed: DataFrame, history: tuple[DataFrame, DataFrame] | None, scr
     kept = store(kept, scratch)
     followers = copies.join(kept.withColumnRenamed("a", "rep"), "rep", "left").select(F.coalesce("b", "rep").alias("kept_id"), F.col("id").alias("duplicate_id"))
     cases = store(followers.unionByName(kept.select(F.col("b").alias("kept_id"), F.col("a").alias("duplicate_id"))).distinct())
-    return Resolution(cases, signed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"]))
+    if once:
+        for at in scratch:
+            delete(parsed.sparkSession, at)
+        return Resolution(cases, None)
+    return Resolution(cases, parsed.join(cases.select(F.col("duplicate_id").alias("id")), "id", "left_anti").dropDuplicates(["id"]))
 
 
 def _read(messages: DataFrame, common: dict[int, int] | None, scratch: list[str]) -> tuple[DataFrame, dict[int, int]]:
-    """The signed rows of a batch, stored, and the common words, counted in the batch itself if not given."""
-    spark = messages.sparkSession
+    """The parsed rows of a batch, stored, and the common words, counted in the batch itself if not given."""
     rows = messages.select(F.col("id").cast("bigint"), "content").where("id is not null and content is not null")
-    if common is None:
-        parsed = store(rows.mapInArrow(_reader(None), PARSED), scratch)
-        common = common_words(parsed)
-        signed = parsed.mapInArrow(_signer(spark.sparkContext.broadcast(common)), SIGNED)
-    else:
-        signed = rows.mapInArrow(_reader(spark.sparkContext.broadcast(common)), SIGNED)
-    return store(signed, scratch), common
+    parsed = store(rows.mapInArrow(_parse, PARSED), scratch)
+    return parsed, common_words(parsed) if common is None else common
 
 
 def resolve(messages: DataFrame) -> Resolution:
@@ -232,7 +307,8 @@ def resolve(messages: DataFrame) -> Resolution:
     Rows with a repeated id count once; null ids and null, empty and short contents match nothing and
     are neither cases nor hashed. The table may be empty.
     """
-    return _resolve(_read(messages, None, [])[0], None, [])
+    scratch: list[str] = []
+    return _resolve(*_read(messages, None, scratch), None, scratch, once=True)
 
 
 class DedupIndex:
@@ -270,8 +346,8 @@ class DedupIndex:
             self._common = generation, dict(pairs)
         return self._common[1]
 
-    def _append(self, signed: DataFrame, part: str) -> None:
-        for name, rows, by in (("keys", _keys(signed).select("key", "id", "role"), "key"), ("sets", signed.select("id", "h", "digits", "words"), "id")):
+    def _append(self, parsed: DataFrame, common: dict[int, int], part: str) -> None:
+        for name, rows, by in (("keys", _keys(parsed, common).select("key", "id", "role"), "key"), ("sets", parsed.select("id", "h", "digits", "words"), "id")):
             rows.withColumn("part", F.lit(part)).repartition(self.state["buckets"], by).write.insertInto(self._table(name))
 
     def _publish(self, common: dict[int, int] | None = None) -> None:
@@ -285,10 +361,10 @@ class DedupIndex:
         ``messages`` as in ``resolve``; all ids must be larger than those of the history. Any batch may be empty.
         """
         scratch: list[str] = []
-        signed, common = _read(messages, self.common(), scratch)
-        done = _resolve(signed, (self._rows("keys"), self._rows("sets")) if self.state["parts"] else None, scratch)
+        parsed, common = _read(messages, self.common(), scratch)
+        done = _resolve(parsed, common, (self._rows("keys"), self._rows("sets")) if self.state["parts"] else None, scratch)
         first, part = not self.state["parts"], uuid.uuid4().hex
-        self._append(done.accepted, part)
+        self._append(done.accepted, common, part)
         size = folder_bytes(self.spark, os.path.join(self.path, f"sets-{self.state['generation']}"))
         self.state = self.state | {"parts": [*self.state["parts"], part], "counted": size if first else self.state["counted"]}
         self._publish(common if first else None)
@@ -302,10 +378,9 @@ class DedupIndex:
         """Count the common words of the whole history, sign it anew with them and fold its parts into one. By REFIT, its cost is a share of all appends'."""
         sets = self._rows("sets")
         common, old = common_words(sets), self.state
-        signed = sets.select("id", "h", "digits", "words").mapInArrow(_signer(self.spark.sparkContext.broadcast(common)), SIGNED)
         part = uuid.uuid4().hex
         self.state = old | {"generation": old["generation"] + 1}
-        self._append(signed, part)
+        self._append(sets, common, part)
         self.state |= {"parts": [part], "counted": max(1, folder_bytes(self.spark, os.path.join(self.path, f"sets-{self.state['generation']}")))}
         self._publish(common)
         new, self.state = self.state, old

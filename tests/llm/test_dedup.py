@@ -1,7 +1,14 @@
+import itertools
+import os
 import random
 import re
 
-from palimpsest.llm.dedup import DedupIndex, resolve
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from palimpsest.llm.dedup import DedupIndex, _parse, _shared, resolve, signatures
+from palimpsest.llm.words import words
 
 KIND = "id bigint, content string, h string, key string"
 
@@ -58,3 +65,49 @@ def test_index_gives_the_same_in_batches(spark, tmp_path):
 
 def test_empty(spark):
     assert found(resolve(spark.createDataFrame([], KIND)).cases) == set()
+
+
+def keys_of(own, digits, common):
+    """The definition of the signatures, word by word."""
+    n, least, rare = len(own), -(-4 * len(own) // 5), [w for w in own if w not in common]
+    r, out = len(rare), [(hash((w, digits)), 2) for w in rare[: len(own) + 1 - -(-4 * len(own) // 5)]]
+    if r <= n - least:
+        pairs = itertools.combinations([w for _, w in sorted((common[w], w) for w in own if w in common)][: n - least + 2 - r], 2)
+        out += [(hash((a, c, digits, min(r, q), max(r, q))), 2 if q == r else 0 if r < q else 1) for a, c in pairs for q in range(5 * (n - r) // 4 - n + 1)]
+    return out
+
+
+def test_signatures_of_a_batch_are_those_of_its_messages():
+    rng = random.Random(13)
+    for few in (0, 5, 300):
+        common = {rng.randrange(-(1 << 31), 1 << 31): rng.randrange(3, 9) for _ in range(few)}
+        known = list(common) + [rng.randrange(-(1 << 31), 1 << 31) for _ in range(40)] + [-1, 0, 1]
+        rows = [(sorted(rng.sample(known, rng.randint(8, 40))), rng.choice([-(1 << 63), (1 << 63) - 1, -1, (1 << 61) - 1, rng.getrandbits(62)])) for _ in range(60)]
+        every = sorted(common.items())
+        ends = np.cumsum([0] + [len(w) for w, _ in rows])
+        got = [[] for _ in rows]
+        for k, key, role in signatures(ends, np.array([w for ws, _ in rows for w in ws], np.int32), np.array([d for _, d in rows], np.int64), *(np.array([p[j] for p in every], np.int64) for j in (0, 1))):
+            for i, own, kind in zip(k.tolist(), key.tolist(), role.tolist()):
+                got[i].append((own, kind))
+        assert [sorted(g) for g in got] == [sorted(keys_of(*r, common)) for r in rows]
+
+
+def test_texts_are_parsed_as_words_and_digits_say(monkeypatch):
+    texts = ["A_b-C\x00d\x1ce f g H i j k 007 7 \t 7", "İstanbul ſ K a b c d e f ٣ 12 ١٢ x_y", "ΣΑΣ σας ὈΔΥΣΣΕΎΣ a b c d e f g", "ß" * 99, "", "a a a a a a a a a", "  one two three four five six seven eight  "]
+    monkeypatch.setattr("palimpsest.llm.dedup.AT_ONCE", 40)
+    batch = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "content": pa.array(texts)})
+    got = pa.Table.from_batches(_parse(iter([batch]))).to_pylist()
+    want = {i: sorted(xxhash.xxh32_intdigest(w) - (1 << 31) for w in ws) for i, t in enumerate(texts) if len(ws := set(words(t))) >= 8}
+    assert {r["id"]: r["words"] for r in got} == want
+    assert {r["id"]: r["digits"] for r in got} == {i: xxhash.xxh3_64_intdigest(" ".join(sorted(re.findall("[0-9]+", texts[i])))) - (1 << 63) for i in want}
+
+
+def test_one_batch_leaves_only_its_cases_and_moves_its_keys_once(spark, tmp_path):
+    keys = spark.range(100).selectExpr("id", "id % 7 as key", "cast(2 as tinyint) as role")
+    assert _shared(keys)._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
+    assert _shared(keys)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    at = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(at))
+    done = resolve(spark.createDataFrame(sample(random.Random(14), 40), KIND))
+    assert len([x for x in set(os.listdir(at)) - before if x.startswith("table-")]) == 1
+    assert done.cases.count() > 0
